@@ -8,12 +8,11 @@ the posterior of the similarity, given the matches so far and a uniform prior, s
 what probability it reaches the threshold, and the pair is dropped once that falls below
 ``miss``.  Survivors are verified exactly on their full shingle sets.
 
-A star can leave a link unseen when its leader resembles neither end enough.  Rounds
-follow: once linked classes are merged into components, buckets that still hold several
-components take new leaders, twice as many each round, and compare them with the members
-of other components.  A bucket of at most ``small`` classes does so in one round, which
-bounds its pairs by a constant; larger ones go on until a single component is left or
-every member has led, so no bucket is capped and no link across components is skipped.
+A star can leave a link unseen when its leader resembles neither end enough.  So once linked
+classes are merged into components, every bucket that still holds several compares the
+members outside its leader's component with all members of other components: by
+signatures, in tasks of bounded blocks, and only pairs that pass the Bayesian test leave a
+task.  No bucket is capped, and no pair across components that shares a band is skipped.
 
 Scale: exchanged are (band hash, class) rows, then signatures of candidates, then texts of
 survivors.  A group of copies, even a third of all rows, is one class before banding; a
@@ -39,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, WordTable, connected_components, hash64, mix64, texts_of, tune, word_lists
 
 BANDS, ROWS, BATCH = 32, 6, 24
+#: Members of a bucket in a task's two sides.
+LEFT, RIGHT = 512, 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,6 +146,30 @@ def _survivors(threshold: float, number: int, batch_size: int, miss: float):
     return run
 
 
+def _across(threshold: float, number: int, batch_size: int, miss: float):
+    """Surviving pairs of a block of outside members with members of other components."""
+    least = least_matches(threshold, number, batch_size, miss)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        sid, component = table.column("sid").to_numpy(), table.column("component").to_numpy()
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(sid), -1)
+        right, found = np.flatnonzero(~side), set()
+        for i in np.flatnonzero(side):
+            live, matches = right[component[right] != component[i]], 0
+            for k, need in enumerate(least):
+                part = slice(k * batch_size, (k + 1) * batch_size)
+                matches = matches + (sig[live, part] == sig[i, part]).sum(axis=1)
+                keep = matches >= need
+                live, matches = live[keep], matches[keep]
+            found.update((min(int(sid[i]), j), max(int(sid[i]), j)) for j in sid[live].tolist())
+        rows = sorted(found)
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
+
+    return run
+
+
 def _verified(width: int, percent: int):
     """Pairs whose full sets reach ``percent``; a text that isn't the class's own is skipped."""
 
@@ -167,7 +192,7 @@ def _verified(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, small: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     Links are pairs with 100 * intersection >= ``percent`` * union of their shingle sets;
@@ -195,33 +220,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         sig = signatures.select("sid", "sig")
         both = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
         left = scratch.table(both.mapInArrow(_survivors(percent / 100, bands * rows, BATCH, miss), "a long, b long"))
-        full = left.join(own.toDF("b", "text_b"), "b").join(own.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = scratch.table(full.mapInArrow(_verified(width, percent), "a long, b long").distinct())
+        found = verified(left)
         scratch.drop(pairs, left)
         return found
 
+    def verified(left: DataFrame) -> DataFrame:
+        full = left.join(own.toDF("b", "text_b"), "b").join(own.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+        return scratch.table(full.mapInArrow(_verified(width, percent), "a long, b long").distinct())
+
     links = links_of(buckets.select(F.col("lead").alias("a"), F.col("sid").alias("b")))
     component = connected_components(spark, links, scratch)
-    # A member of a bucket of n leads in the round its hash draws: 2^t members in round t.
-    drawn = F.pmod(F.xxhash64("sid"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n")
-    level = F.when((F.col("n") <= small) | (drawn < 1), 0).otherwise(F.floor(F.log2(F.greatest(drawn, F.lit(1.0)))) + 1).cast("int")
-    turn = 0
-    while True:
-        placed = buckets.where("n > 2").join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-        open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.first("n").alias("n")).where("low <> high")
-        if turn:
-            open_ = open_.where(f"n > {int(small)}")
-        members = scratch.table(placed.join(open_.select("key"), "key", "left_semi").select("key", "sid", "lead", "component", level.alias("level")))
-        last = members.agg(F.max("level")).first()[0]
-        if last is None or turn > last:
-            break
-        a = members.where(F.col("level") == turn).select("key", F.col("sid").alias("a"), F.col("component").alias("of_a"))
-        b = members.where(F.col("level") >= turn).select("key", F.col("sid").alias("b"), F.col("component").alias("of_b"), "lead")
-        pairs = a.join(b, "key").where("of_a <> of_b and a <> lead and b <> lead").select("a", "b")
-        links = scratch.table(links.union(links_of(pairs)))
+    # Buckets that still hold several components: members outside the lead's component are
+    # compared, in blocks, with every member of another component.
+    placed = buckets.where("n > 2").join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = scratch.table(placed)
+    lead = placed.where("sid = lead").select("key", F.col("component").alias("of_lead"))
+    tally = placed.join(lead, "key").groupBy("key").agg(F.first("of_lead").alias("of_lead"), F.count_if(F.col("component") != F.col("of_lead")).alias("out")).where("out > 0")
+    blocks = F.ceil(F.col("out") / LEFT).cast("int").alias("blocks")
+    chunks = F.ceil(F.col("n") / RIGHT).cast("int").alias("chunks")
+    rows_ = placed.join(tally, "key").select("key", "sid", "component", F.col("component") != F.col("of_lead"), blocks, chunks).toDF("key", "sid", "component", "outside", "blocks", "chunks")
+    drawn = F.xxhash64("sid")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.pmod(drawn, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left")))
+    own_block = F.pmod(F.shiftright(drawn, 20), F.col("blocks")).cast("int")
+    lefts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(own_block.alias("block"), k.alias("chunk"), F.lit(True).alias("left")))
+    dealt = rows_.withColumn("task", F.explode(F.when(F.col("outside"), F.concat(tasks, lefts)).otherwise(tasks))).select("key", "sid", "component", "task.*")
+    dealt = dealt.join(signatures.select("sid", "sig"), "sid")
+    across = dealt.groupBy("key", "block", "chunk").applyInArrow(_across(percent / 100, bands * rows, BATCH, miss), "a long, b long")
+    new = verified(scratch.table(across.distinct()))
+    if not new.isEmpty():
+        links = scratch.table(links.union(new))
         component = connected_components(spark, links, scratch)
-        scratch.drop(members)
-        turn += 1
 
     of_class = classes.join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
