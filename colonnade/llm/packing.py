@@ -20,18 +20,18 @@ extra columns are ignored; an empty table gives no row.
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordTable, shuffle_partitions, texts_of, tune
+from .common import Scratch, shuffle_partitions, texts_of, tune
 
-#: White space on which Python and the tokenizer's ``\\s`` agree.
-_SPACE = re.compile("[\\s\x1c-\x1f]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
@@ -41,26 +41,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Where an ASCII text splits into the tokenizer's own pieces, and where any other text may.
+_ASCII_PIECE = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LETTER_PIECE = re.compile(r"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+")
+_SYMBOL = re.compile(r"[^\x00-\x7f\w]")
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
-    The vocabulary's rules never join characters across white space, so a text's ids are
-    those of its chunks; each chunk is encoded by the tokenizer once and remembered.
+    The vocabulary's rules never join characters across white space, nor letters with
+    ASCII punctuation (but for apostrophes and the names of special tokens), so a text's
+    ids are those of its chunks; each chunk is encoded by the tokenizer once and kept.
     """
 
+    MOST = 800_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = WordTable(self._encode, 400_000)
-
-    def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokenizer, self.chunks = Tokenizer.from_file(path), {}
 
-    def encode(self, text: str) -> bytes:
+    def _split(self, text: str) -> list[str]:
         if _ODD_SPACE.search(text):  # white space to one side only: take the whole text
-            return self._encode(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+            return [text]
+        if "'" in text or "<|" in text:
+            return text.split()
+        if text.isascii():
+            return _ASCII_PIECE.findall(text.lower())
+        return text.split() if _SYMBOL.search(text) else _LETTER_PIECE.findall(text)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        lists = [self._split(t) for t in texts]
+        if len(self.chunks) > self.MOST:
+            self.chunks.clear()
+        new = list({c for parts in lists for c in parts}.difference(self.chunks))
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.chunks[c] = np.asarray(e.ids, "<u4").tobytes()
+        return [b"".join(map(self.chunks.__getitem__, parts)) for parts in lists]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, so its chunks outlive a task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Encoder(path)
 
 
 def _pieces(path: str, most: int, end: int):
@@ -69,11 +94,11 @@ def _pieces(path: str, most: int, end: int):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        encoder = Encoder(path)
+        known = encoder(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
-                ids = encoder.encode(text) + tail
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), known.encode_all(texts_of(batch)), strict=True):
+                ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     piece = ids[at : at + 4 * most]
                     out.append((doc_id, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
