@@ -10,9 +10,10 @@ what probability it reaches the threshold, and the pair is dropped once that fal
 
 A star can leave a link unseen when its leader resembles neither end enough.  So once linked
 classes are merged into components, every bucket that still holds several compares the
-members outside its leader's component with all members of other components: by
-signatures, in tasks of bounded blocks, and only pairs that pass the Bayesian test leave a
-task.  No bucket is capped, and no pair across components that shares a band is skipped.
+members outside its leader's component with all members of other components, in tasks of
+bounded blocks: by the Bayesian test, then on full sets, and only links that join two
+components leave a task.  No bucket is capped, and no pair across components that shares
+a band is skipped.
 
 Scale: exchanged are (band hash, class) rows, then signatures of candidates, then texts of
 survivors.  A group of copies, even a third of all rows, is one class before banding; a
@@ -39,7 +40,9 @@ from .common import Scratch, WordTable, connected_components, hash64, mix64, tex
 
 BANDS, ROWS, BATCH = 32, 6, 24
 #: Members of a bucket in a task's two sides.
-LEFT, RIGHT = 512, 4096
+LEFT, RIGHT = 2048, 4096
+#: Shingles of a side's full sets, and so about the words of its texts.
+WEIGHT = 8_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,16 +149,31 @@ def _survivors(threshold: float, number: int, batch_size: int, miss: float):
     return run
 
 
-def _across(threshold: float, number: int, batch_size: int, miss: float):
-    """Surviving pairs of a block of outside members with members of other components."""
-    least = least_matches(threshold, number, batch_size, miss)
+def _across(width: int, percent: int, bands: int, batch_size: int, miss: float):
+    """Links that join components among a block of outside members and a chunk of all members.
+
+    A pair is judged in the first band it shares.  Candidates are verified by falling number
+    of matches, and a link merges its components here at once, so at most one link a merger
+    leaves the task.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        side = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
-        sid, component = table.column("sid").to_numpy(), table.column("component").to_numpy()
+        side, band = table.column("left").to_numpy(zero_copy_only=False).astype(bool), table.column("band")[0].as_py()
+        sid, component = table.column("sid").to_numpy(), table.column("component").to_numpy().copy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(sid), -1)
-        right, found = np.flatnonzero(~side), set()
+        least = least_matches(percent / 100, sig.shape[1], batch_size, miss)
+        texts, words, sets = table.column("text"), _table(), {}
+
+        def full(i: int) -> np.ndarray:
+            if sid[i] not in sets:
+                s = shingle_set(word_lists([texts[i].as_py() or ""])[0], words, width)
+                if set_id(s) != sid[i]:  # another text under the same doc_id
+                    return np.zeros(0, np.uint64)
+                sets[sid[i]] = s
+            return sets[sid[i]]
+
+        right, rows = np.flatnonzero(~side), []
         for i in np.flatnonzero(side):
             live, matches = right[component[right] != component[i]], 0
             for k, need in enumerate(least):
@@ -163,8 +181,16 @@ def _across(threshold: float, number: int, batch_size: int, miss: float):
                 matches = matches + (sig[live, part] == sig[i, part]).sum(axis=1)
                 keep = matches >= need
                 live, matches = live[keep], matches[keep]
-            found.update((min(int(sid[i]), j), max(int(sid[i]), j)) for j in sid[live].tolist())
-        rows = sorted(found)
+            shared = (sig[live] == sig[i]).reshape(len(live), bands, sig.shape[1] // bands).all(axis=2)
+            first = shared.any(axis=1) & (shared.argmax(axis=1) == band)
+            for j in live[first][np.argsort(-matches[first], kind="stable")]:
+                if component[i] == component[j]:
+                    continue
+                one, other = full(i), full(j)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                if common and 100 * common >= percent * (len(one) + len(other) - common):
+                    rows.append((min(sid[i], sid[j]), max(sid[i], sid[j])))
+                    component[component == component[j]] = component[i]
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], schema=schema)
 
     return run
@@ -206,10 +232,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     sets = scratch.table(texts.mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, sid long, sig binary, bands array<long>"))
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     classes = scratch.table(classes)
-    signed = sets.select("doc_id", "sid", "sig", "bands").join(classes, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid", "doc_id"])
-    keyed = signed.select("sid", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "sid")
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lead")).where("n > 1")
-    buckets = scratch.table(keyed.join(met, "key").select("key", "sid", "n", "lead"))
+    signed = sets.select("doc_id", "sid", "n_shingles", "sig", "bands").join(classes, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid", "doc_id"])
+    keyed = signed.select("sid", "n_shingles", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "sid", F.col("n_shingles").alias("weight"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lead"), F.sum("weight").alias("all_weight")).where("n > 1")
+    buckets = scratch.table(keyed.join(met, "key").select("key", "band", "sid", "weight", "n", "lead", "all_weight"))
     # signatures and texts of the classes that share a bucket with another
     met_ids = buckets.select("sid").distinct()
     signatures = scratch.table(signed.select("sid", "doc_id", "sig").join(met_ids, "sid", "left_semi"))
@@ -220,14 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         sig = signatures.select("sid", "sig")
         both = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
         left = scratch.table(both.mapInArrow(_survivors(percent / 100, bands * rows, BATCH, miss), "a long, b long"))
-        found = verified(left)
+        full = left.join(own.toDF("b", "text_b"), "b").join(own.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
+        found = scratch.table(full.mapInArrow(_verified(width, percent), "a long, b long").distinct())
         scratch.drop(pairs, left)
         return found
 
-    def verified(left: DataFrame) -> DataFrame:
-        full = left.join(own.toDF("b", "text_b"), "b").join(own.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        return scratch.table(full.mapInArrow(_verified(width, percent), "a long, b long").distinct())
-
     links = links_of(buckets.select(F.col("lead").alias("a"), F.col("sid").alias("b")))
     component = connected_components(spark, links, scratch)
     # Buckets that still hold several components: members outside the lead's component are
@@ -235,18 +258,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     placed = buckets.where("n > 2").join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = scratch.table(placed)
     lead = placed.where("sid = lead").select("key", F.col("component").alias("of_lead"))
-    tally = placed.join(lead, "key").groupBy("key").agg(F.first("of_lead").alias("of_lead"), F.count_if(F.col("component") != F.col("of_lead")).alias("out")).where("out > 0")
-    blocks = F.ceil(F.col("out") / LEFT).cast("int").alias("blocks")
-    chunks = F.ceil(F.col("n") / RIGHT).cast("int").alias("chunks")
-    rows_ = placed.join(tally, "key").select("key", "sid", "component", F.col("component") != F.col("of_lead"), blocks, chunks).toDF("key", "sid", "component", "outside", "blocks", "chunks")
+    tally = placed.join(lead, "key").groupBy("key").agg(F.first("of_lead").alias("of_lead"), F.count_if(F.col("component") != F.col("of_lead")).alias("out"), F.sum(F.when(F.col("component") != F.col("of_lead"), F.col("weight"))).alias("out_weight")).where("out > 0")
+    blocks = F.greatest(F.ceil(F.col("out") / LEFT), F.ceil(F.col("out_weight") / WEIGHT)).cast("int").alias("blocks")
+    chunks = F.greatest(F.ceil(F.col("n") / RIGHT), F.ceil(F.col("all_weight") / WEIGHT)).cast("int").alias("chunks")
+    rows_ = placed.join(tally, "key").select("key", "band", "sid", "component", F.col("component") != F.col("of_lead"), blocks, chunks).toDF("key", "band", "sid", "component", "outside", "blocks", "chunks")
     drawn = F.xxhash64("sid")
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.pmod(drawn, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left")))
     own_block = F.pmod(F.shiftright(drawn, 20), F.col("blocks")).cast("int")
     lefts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(own_block.alias("block"), k.alias("chunk"), F.lit(True).alias("left")))
-    dealt = rows_.withColumn("task", F.explode(F.when(F.col("outside"), F.concat(tasks, lefts)).otherwise(tasks))).select("key", "sid", "component", "task.*")
-    dealt = dealt.join(signatures.select("sid", "sig"), "sid")
-    across = dealt.groupBy("key", "block", "chunk").applyInArrow(_across(percent / 100, bands * rows, BATCH, miss), "a long, b long")
-    new = verified(scratch.table(across.distinct()))
+    dealt = rows_.withColumn("task", F.explode(F.when(F.col("outside"), F.concat(tasks, lefts)).otherwise(tasks))).select("key", "band", "sid", "component", "task.*")
+    dealt = dealt.join(signatures.select("sid", "sig"), "sid").join(own, "sid")
+    across = dealt.groupBy("key", "block", "chunk").applyInArrow(_across(width, percent, bands, BATCH, miss), "a long, b long")
+    new = scratch.table(across.distinct())
     if not new.isEmpty():
         links = scratch.table(links.union(new))
         component = connected_components(spark, links, scratch)
