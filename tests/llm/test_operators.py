@@ -319,11 +319,18 @@ def test_fingerprints(spark, docs, odd):
     assert fingerprint.fingerprint_documents(odd.limit(0)).collect() == []
 
 
-def test_colliding_digests_are_told_apart(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "a"), (2, "A "), (3, "b")], "doc_id long, text string")
-    assert fingerprint.colliding_forms(df) == {}
-    d = fingerprint.digest("a")
-    assert fingerprint._named("a", {d: {b"a": 1}}) != fingerprint._named("a", {})
+def test_colliding_digests_are_told_apart(spark, docs):
+    texts = [t or "" for _, t in docs.select("doc_id", "text").collect()]
+    forms = {fingerprint.canonical(t) for t in texts}
+    assert fingerprint.colliding(docs) == set()
+    met = Counter(fingerprint.digest(c, 1) for c in forms)  # digests of one byte collide
+    want = {d for d, n in met.items() if n > 1}
+    assert want and fingerprint.colliding(docs, 1) == want
+    got = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint_documents(docs, width=1).collect()}
+    named: dict[str, set[str]] = {}
+    for i, t in docs.select("doc_id", "text").collect():
+        named.setdefault(got[i], set()).add(fingerprint.canonical(t or ""))
+    assert all(len(c) == 1 for c in named.values()) and len(named) == len(forms)
 
 
 # ---- pipeline
