@@ -9,9 +9,10 @@ between the two pivots tightens this further (y is at most the chord of e beyond
 Of two cells the one with the lower number compares the pair, so none is met twice.
 
 Vectors within e / 2 of their pivot form the cell's core: by the triangle inequality they
-all link with one another, so they are counted, not compared.  Cells are cut into blocks,
-and tasks compare pairs of blocks, so a cell of any size is never gathered; a core's
-blocks meet only the few vectors within 1.5 e of the pivot.
+all link with one another, so they are counted, not compared.  A cell's own vectors and
+the replicas sent to it are cut into blocks, and tasks compare two blocks of the cell's
+own or one of these with one of replicas, so a cell of any size is never gathered and two
+replicas never meet; a core's blocks meet only the few vectors within 1.5 e of the pivot.
 
 Scale: equal vectors are folded into one with a multiplicity first.  Pivots (at most
 ``max_pivots``) and per-cell figures are the only things that reach the driver.  Vectors
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, tune
 
 SAMPLE = 4096
-BLOCK = 3000
+BLOCK = 6000  # own vectors a task holds; of replicas, twice as many
+_FAR = 1 << 24  # numbers of replica blocks begin here
 _SLACK = 1e-7  # on angles: more than rounding can move them
 
 
@@ -77,6 +79,12 @@ def reached(x: np.ndarray, pivots: np.ndarray, radius: np.ndarray, e: float) ->
     return a, own, may
 
 
+def _spread(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of ``rows`` repeated, with the number 0, 1, ... of the repetition."""
+    out = np.repeat(rows, times)
+    return out, np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
+
+
 def linked(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, ids: np.ndarray, same: bool, owned_x, owned_y, least: float):
     """Links of x with y (both owned-aware): counts for either side, and least ids reached.
 
@@ -192,43 +200,45 @@ def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float,
         return x, row, cell, owned, core, near
 
     def sizes(batches):
-        plain, core = np.zeros(number, np.int64), np.zeros(number, np.int64)
+        held = np.zeros((3, number), np.int64)
         for batch in batches:
-            _, _, cell, _, is_core, _ = members(batch)
-            np.add.at(core, cell[is_core], 1)
-            np.add.at(plain, cell[~is_core], 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(number), pa.int32()), pa.array(plain), pa.array(core)], names=["cell", "plain", "core"])
-
-    count = {r[0]: (r[1], r[2]) for r in part.select("vec").mapInArrow(sizes, "cell int, plain long, core long").groupBy("cell").agg(F.sum("plain"), F.sum("core")).collect()}
-    blocks = sc.broadcast(np.array([[max(1, -(-v // BLOCK)) for v in count.get(i, (0, 0))] for i in range(number)]))
+            _, _, cell, owned, core, _ = members(batch)
+            np.add.at(held, (np.where(core, 2, np.where(owned, 0, 1)), cell), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(number), pa.int32()), *(pa.array(h) for h in held)], names=["cell", "own", "replicas", "core"])
+
+    count = np.zeros((3, number), np.int64)
+    for r in part.select("vec").mapInArrow(sizes, "cell int, own long, replicas long, core long").groupBy("cell").agg(F.sum("own"), F.sum("replicas"), F.sum("core")).collect():
+        count[:, r[0]] = r[1:]
+    blocks = sc.broadcast(-(-count // np.array([[BLOCK], [2 * BLOCK], [BLOCK]])))
     schema = pa.schema([("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("owned", pa.bool_()), ("cid", pa.int64()), ("mult", pa.int64()), ("vec", pa.list_(pa.float64()))])
 
+    def targets(cid, row, cell, owned, core, near):
+        """(membership, i, j, side) of every pair of blocks it takes part in; i = -1 - block marks cores."""
+        own, replicas, cores = (b[cell] for b in blocks.value)
+        hashed = (cid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+        # own vectors: with every block of the cell's own, then with every block of replicas
+        k, t = _spread(np.flatnonzero(owned & ~core), (own + replicas)[owned & ~core])
+        mine, far = hashed[k] % own[k], t >= own[k]
+        yield k, np.where(far, mine, np.minimum(mine, t)), np.where(far, _FAR + t - own[k], np.maximum(mine, t)), np.where(~far & (mine > t), 1, 0)
+        k, t = _spread(np.flatnonzero(~owned), own[~owned])
+        yield k, t, _FAR + hashed[k] % replicas[k], np.ones(len(k), np.int64)
+        # cores meet only what others send to side 1
+        k = np.flatnonzero(core)
+        yield k, -1 - hashed[k] % cores[k], np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
+        k, t = _spread(np.flatnonzero(near & ~core), cores[near & ~core])
+        yield k, -1 - t, np.zeros(len(k), np.int64), np.ones(len(k), np.int64)
+
     def dealt(batches):
-        """A membership once for each pair of blocks it takes part in; i = -1 - block marks cores."""
+        """A membership once for each pair of blocks it takes part in."""
         for batch in batches:
             x, row, cell, owned, core, near = members(batch)
             cid, mult = batch.column("cid").to_numpy(), batch.column("mult").to_numpy()
-            n = blocks.value
-            out = []
-            block = (cid[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-            for k in range(len(row)):
-                c = cell[k]
-                plain, cores = n[c]
-                if core[k]:
-                    out.append((k, -1 - block[k] % cores, 0, 0))  # meets only what others send to side 1
-                    continue
-                own = int(block[k] % plain)
-                for other in range(plain):
-                    i, j = min(own, other), max(own, other)
-                    out.append((k, i, j, 0 if i == j else (1 if own == j else 2)))
-                if near[k] and count.get(int(c), (0, 0))[1]:
-                    out.extend((k, -1 - b, 0, 1) for b in range(cores))
-            o = np.array(out, dtype=np.int64).reshape(-1, 4)
-            for at in range(0, len(o), 20_000):
-                k, i, j, side = o[at : at + 20_000].T
-                flat = pa.array(x[row[k]].ravel())
-                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * dim), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(cell[k].astype(np.int32)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(owned[k]), pa.array(cid[row[k]]), pa.array(mult[row[k]]), vec], schema=schema)
+            for where in targets(cid, row, cell, owned, core, near):
+                for at in range(0, len(where[0]), 20_000):
+                    k, i, j, side = (w[at : at + 20_000] for w in where)
+                    flat = pa.array(x[row[k]].ravel())
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * dim), flat)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in (cell[k], i, j, side)), pa.array(owned[k]), pa.array(cid[row[k]]), pa.array(mult[row[k]]), vec], schema=schema)
 
     def cores(batches):
         for batch in batches:
