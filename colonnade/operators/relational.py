@@ -5,13 +5,15 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import COLUMN_SIZE_MISMATCH, DTYPE_MISMATCH, INVALID_API_CALL, JOIN_DTYPE_MISMATCH, UNSUPPORTED_JOIN_TYPE, UNSUPPORTED_METHOD, require
 from ..functions.scalar import wrap, wrap_big
-from ..types import FLOATS, INTEGERS, NUMBERS, TIMES, expect, type_of
+from ..types import FLOATS, INTEGERS, NUMBERS, TIMES, byte_width, expect, type_of
 
 # ---- filters
 
@@ -114,6 +116,27 @@ def reduction(df: DataFrame, op: str, name: str, result_type: str = "wide", iden
     return F.coalesce(out, F.lit(0).cast("double" if isinstance(kind, FLOATS) else "long")) if identity else out
 
 
+def integer_product(df: DataFrame, name: str, out: str = "product") -> DataFrame:
+    """One row: the exact product of an integer column, wrapping around in its type.
+
+    Each partition is multiplied by itself, then the partial products, one per partition.
+    Nulls are skipped; without values the product is 1.
+    """
+    kind = expect(df, name, INTEGERS)
+
+    def partial(batches):
+        total = np.ones(1, np.int64)
+        for batch in batches:
+            total *= np.multiply.reduce(batch.column(0).drop_null().to_numpy(zero_copy_only=False), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total)], names=["p"])
+
+    parts = df.select(F.col(name).cast("long").alias("p")).mapInArrow(partial, "p long")
+    whole = parts.repartition(1).mapInArrow(partial, "p long").agg(F.coalesce(F.max("p"), F.lit(1).cast("long")).alias("p"))
+    size = 8 * byte_width(df, name)
+    low = F.col("p") if size == 64 else F.pmod(F.col("p"), F.lit(1 << size))
+    return whole.select((low if size == 64 else F.when(low >= 1 << (size - 1), low - (1 << size)).otherwise(low)).cast(kind).alias(out))
+
+
 # ---- group-by
 
 AGGREGATES = ("sum", "min", "max", "avg", "count")

@@ -194,12 +194,17 @@ for _op, _sql in {"sum": "round(sum(l_quantity), 2)", "sum_squared": "round(sum(
     query(f"reduce_{_op}", f"select {_sql} as y from lineitem", "lineitem")(_reduce)
 
 
-@query("reduce_product", "select round(exp(sum(ln(1 + n_regionkey))), 0) as y from nation where n_nationkey < 12", "nation")
+@query("reduce_product", "select round(product(1 + n_regionkey), 0)::double as y from nation", "nation")
 def _product(df):
-    d = df.where("n_nationkey < 12").select((F.col("n_regionkey") + 1).alias("x"))
+    d = df.select((F.col("n_regionkey") + 1).alias("x"))
     return d.agg(F.round(R.reduction(d, "product", "x"), 0).alias("y"))
 
 
+@query("reduce_product_wrap", f"select (case when p >= 9223372036854775808 then p - {1 << 64}::hugeint else p end)::bigint as y from (select list_reduce(list((2 * l_partkey + 1)::hugeint), lambda a, b: (a * b) % {1 << 64}::hugeint) as p from lineitem)", "lineitem")
+def _product_wrap(df):
+    return R.integer_product(df.select((2 * F.col("l_partkey") + 1).cast("long").alias("x")), "x", "y")
+
+
 @query("reduce_empty_identity", "select 0::bigint as s, 1.0::double as p, 2147483647::integer as lo, (-2147483648)::integer as hi", "nation")
 def _identity(df):
     d = df.where("n_nationkey < 0")
@@ -345,6 +350,16 @@ def _hash_columns(df):
     return df.select("o_orderkey", H.column_hash(["o_orderkey", "o_orderstatus"]))
 
 
+_FNV_BYTES = "[" + ", ".join(f"(({c} >> {8 * k}) & 255)::hugeint" for c in ("o_orderkey::bigint", "o_custkey::bigint") for k in range(8)) + "]"
+_FNV = f"list_reduce(list_prepend(14695981039346656037::hugeint, list_transform({_FNV_BYTES}, lambda b: case when b > 127 then b + {(1 << 64) - 256}::hugeint else b end)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % {1 << 64}::hugeint)"
+
+
+@query("hash_fnv", f"select o_orderkey, (case when h >= 9223372036854775808 then h - {1 << 64}::hugeint else h end)::bigint as hash from (select o_orderkey, {_FNV} as h from orders)", "orders")
+def _hash_fnv(df):
+    d = df.select(F.col("o_orderkey"), F.col("o_orderkey").cast("long").alias("a"), F.col("o_custkey").cast("long").alias("b"))
+    return d.select("o_orderkey", H.fnv_hash(d, ["a", "b"]))
+
+
 @query("hash_partition_ids", f"select o_orderkey, (h % 10)::integer as part from {_ROW_HASH}", "orders")
 def _partition_ids(df):
     return H.hash_partition(df.select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], 10).select("o_orderkey", "part")

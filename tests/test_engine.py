@@ -164,7 +164,9 @@ def _murmur3(data, seed=0):
     h = seed
     for i in range(0, len(data), 4):
         k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF
-        h = (rot(h ^ (rot(k, 15) * 0x1B873593 & 0xFFFFFFFF), 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        h ^= rot(k, 15) * 0x1B873593 & 0xFFFFFFFF
+        if len(data) - i >= 4:
+            h = (rot(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
     h ^= len(data)
     for shift, m in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
         h = (h ^ (h >> shift)) * m & 0xFFFFFFFF
@@ -187,6 +189,43 @@ def test_hashing(spark):
         assert dealt.where("at <> part").count() == 0
 
 
+def test_hash_of_bytes_and_shorts(spark):
+    shorts = [*range(-128, 128), -32768, 32767, 256, -257, None]
+    df = spark.createDataFrame([(v if v is not None and -128 <= v < 128 else None, v) for v in shorts], "a byte, b short")
+    for name, kind in (("a", "<i1"), ("b", "<i2")):
+        for r in df.select(name, hashing.murmur(df, name).alias("h")).collect():
+            assert r.h == (None if r[0] is None else _murmur3(np.array([r[0]], kind).tobytes()))
+
+
+def test_fnv_hash(spark):
+    rows = [(1, -2, 3, -4, 1.5, -2.5), (-128, 32767, -(2**31), 2**63 - 1, -0.0, 1e300), (5, 6, 7, -(2**63), 0.1, 0.2), (1, None, 3, 4, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "a byte, b short, c int, d long, e float, f double")
+    got = values(df.select(hashing.fnv_hash(df, df.columns)))
+    for (h,), row in zip(got, rows, strict=True):
+        if None in row:
+            assert h is None
+            continue
+        want = 14695981039346656037
+        for v, kind in zip(row, ("<i1", "<i2", "<i4", "<i8", "<f4", "<f8"), strict=True):
+            for byte in np.array([v], kind).view("i1").tolist():
+                want = (want ^ (byte % 2**64)) * 1099511628211 % 2**64
+        assert h % 2**64 == want
+    times = spark.createDataFrame([(dt.date(1969, 12, 30), dt.datetime(1969, 12, 31, 23, 59, 59))], "d date, t timestamp_ntz").withColumns({"days": F.lit(-2), "micros": F.lit(-1_000_000).cast("long")})
+    assert values(times.select(hashing.fnv_hash(times, ["d", "t"]))) == values(times.select(hashing.fnv_hash(times, ["days", "micros"])))
+
+
+@pytest.mark.parametrize("kind, bits", [("byte", 8), ("short", 16), ("int", 32), ("long", 64)])
+def test_integer_product(spark, kind, bits):
+    numbers = [3, -5, 7, 11, 13, -17, 19, 23, None, 29, 31, 37, 41, 43, 47, 53, 59, 61]
+    df = spark.createDataFrame([(v,) for v in numbers], f"x {kind}")
+    want = 1
+    for v in numbers:
+        want *= v or 1
+    want = (want + (1 << bits - 1)) % (1 << bits) - (1 << bits - 1)
+    assert values(relational.integer_product(df, "x")) == [(want,)]
+    assert values(relational.integer_product(df.where("x is null"), "x")) == values(relational.integer_product(df.limit(0), "x")) == [(1,)]
+
+
 def test_csv(spark, tmp_path):
     text = "skip me\n1/2/2018,-1,234,x y,\"q\"\n2018-3-4T5:06 PM, 7 ,,,a\n,1e3\nlast,9,8,7,6\nfoot"
     (tmp_path / "a.csv").write_text(text)
