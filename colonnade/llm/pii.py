@@ -343,23 +343,37 @@ _DIGITS = re.compile(r"[0-9]")
 _LEAST = {0: (7, 0), 1: (7, 4), 2: (12, 12), 3: (9, 7), 4: (12, 4)}
 
 
+_INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+
+
 def added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
-    """Found spans, trimmed, that are whole enough and touch no base span."""
-    out, k = [], 0
+    """Found spans, trimmed, that are whole enough and touch no base span.
+
+    A span that begins or ends inside a word of letters, digits and '_' takes the whole
+    word, up to a base span; of spans found in one word the first decides.
+    """
+    out, k, done = [], 0, 0
     for kind, start, end in sorted(found, key=lambda s: s[1]):
         piece = text[start:end]
         start, end = start + len(piece) - len(piece.lstrip()), end - (len(piece) - len(piece.rstrip(" \n\t.,;")))
+        if end <= start or start < done:
+            continue
+        while k < len(base) and base[k][2] <= start:
+            k += 1
+        least = max([done, *(e for _, _, e in base[max(0, k - 2) : k])])
+        most = min([len(text), *(s for _, s, _ in base[k : k + 8] if s >= end)])
+        while start > least and text[start] in _INNER and text[start - 1] in _INNER:
+            start -= 1
+        while end < most and text[end - 1] in _INNER and text[end] in _INNER:
+            end += 1
+        done = end
         chars, digits = _LEAST[kind]
         if end - start < chars or len(_DIGITS.findall(text[start:end])) < digits:
             continue
         if kind == 0 and not re.search(r"@|[\[({]\s?at\s?[\])}]", text[start:end], re.I):
             continue
-        while k < len(base) and base[k][2] <= start:
-            k += 1
         if any(s < end and e > start for _, s, e in base[max(0, k - 2) : k + 8]):
             continue
-        if out and out[-1][2] > start:
-            continue
         out.append((kind, start, end))
     return out
 

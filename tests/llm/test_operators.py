@@ -239,6 +239,17 @@ def test_tagger_gradient_and_reconciling():
     assert pii.reconciled(120, [0, 32], np.array([tags[:96], np.append(tags[32:], np.zeros(8, int))])) == [(4, 20, 50)]
 
 
+def test_added_spans_take_whole_words():
+    text = 'my token = "0a1b2c3d4e5f" and 4111 or a@b.co.x1y2z3a4b5c6d7 \n '
+    base = pii.base_spans(text)
+    at = text.index("token")
+    cut = lambda found: [text[s:e] for _, s, e in pii.added(text, base, found)]
+    assert cut([(4, at + 2, at + 18)]) == ['token = "0a1b2c3d4e5f']
+    assert cut([(4, at + 2, at + 15), (4, at + 16, at + 20)]) == ['token = "0a1b2c3d4e5f']
+    assert cut([(4, base[0][1] + 2, base[0][2])]) == [] and cut([(2, len(text) - 2, len(text))]) == [] and cut([]) == []
+    assert pii.added("", [], []) == []
+
+
 def test_personal_data(spark, odd, docs):
     tagger = pii.Tagger()
     got = pii.find_personal_data(odd, tagger).collect()
