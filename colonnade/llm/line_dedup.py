@@ -4,6 +4,11 @@ Every three consecutive lines of a document are hashed (two 64-bit hashes, 128 b
 window found more than once is repeated; its first occurrence, by doc_id and line, stays
 and the lines that any later occurrence covers are removed, overlapping covers merged.
 
+With ``long_words`` one or two consecutive lines of more than that many words are windows
+too, so a long paragraph between differing lines is seen; the SQL below has three-line
+windows only.  Whatever the window, no passage loses its first occurrence: a cover of it
+would put an equal passage before it.
+
 Lines are compared without surrounding blanks; blank lines belong to no window, but go
 with a passage that spans them.
 
@@ -13,7 +18,7 @@ Only positions inside repeated windows come back, folded per document; texts are
 exchanged once.
 
 Defined results: null and empty texts, and texts of under three lines, have no window and
-stay as they are; of repeated rows with one doc_id the copies count as occurrences of the
+stay as they are (with ``long_words``: unless a line or two of them make a long passage); of repeated rows with one doc_id the copies count as occurrences of the
 same document and position, and none is removed; extra columns are kept.
 """
 
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def _windows(docs: DataFrame) -> DataFrame:
     """(doc_id, a, b, c, h1, h2): original indices of a window's lines, and its hashes."""
@@ -35,17 +42,35 @@ def _windows(docs: DataFrame) -> DataFrame:
     return at.select("doc_id", a["i"].alias("a"), c["i"].alias("c"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("h2"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def _long_windows(docs: DataFrame, long_words: int) -> DataFrame:
+    """The same columns of one line, or two, of more than ``long_words`` words."""
+    able = docs.where(F.length("text") > 2 * long_words)  # as many words and the blanks between
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("i"), F.trim(line, F.lit(" \t\r")).alias("line"), F.regexp_count(line, F.lit(WORD)).alias("n")))
+    full = able.select("doc_id", F.filter(lines, lambda x: x["line"] != "").alias("l")).where(F.size("l") > 0)
+    at = full.select("doc_id", "l", F.explode(F.sequence(F.lit(0), F.size("l") - 1)).alias("p"))
+    a, b = (F.get("l", F.col("p") + k) for k in range(2))
+    one = F.when(a["n"] > long_words, F.struct(a["i"].alias("a"), a["i"].alias("c"), a["line"].alias("text")))
+    two = F.when(a["n"] + b["n"] > long_words, F.struct(a["i"].alias("a"), b["i"].alias("c"), F.concat_ws("\n", a["line"], b["line"]).alias("text")))
+    found = at.select("doc_id", F.explode(F.array_compact(F.array(one, two))).alias("w"))
+    text = F.col("w.text")
+    return found.select("doc_id", "w.a", "w.c", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("h2"))
+
+
+def dedup_lines(docs: DataFrame, long_words: int | None = None) -> DataFrame:
     """``docs`` with ``text`` freed from later occurrences of repeated three-line windows.
 
-    Adds n_lines (lines of the text as it came) and n_removed.
+    Adds n_lines (lines of the text as it came) and n_removed.  Windows of one and two
+    lines count as well if they have more than ``long_words`` words (None: never).
     """
     scratch = Scratch(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    windows = scratch.table(_windows(ids))
+    windows = _windows(ids)
+    if long_words is not None:
+        windows = windows.union(_long_windows(ids, long_words))
+    windows = scratch.table(windows)
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("doc_id"), F.col("a"))).alias("first")).where("n > 1").drop("n")
     later = windows.join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("a") == F.col("first.a"))))
-    # covers of a document: its distinct spans, at most one per line
+    # covers of a document: its distinct spans, at most one per line and length of window
     covers = later.groupBy("doc_id").agg(F.collect_set(F.struct("a", "c")).alias("_covers")).withColumnRenamed("doc_id", "_id")
     out = docs.join(covers, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     lines = F.split(F.col("text").cast("string"), "\n", -1)

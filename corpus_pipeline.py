@@ -21,8 +21,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts freed from later occurrences of repeated passages; a text that loses all goes."""
-    out = line_dedup.dedup_lines(docs).where("n_removed = 0 or length(text) > 0")
+    """Texts freed from later occurrences of repeated passages; a text that loses all goes.
+
+    A passage is three lines, or one or two of more than 50 words.
+    """
+    out = line_dedup.dedup_lines(docs, long_words=50).where("n_removed = 0 or length(text) > 0")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

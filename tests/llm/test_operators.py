@@ -146,6 +146,19 @@ def test_line_dedup_edges(spark, odd):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_long_passages(spark, docs):
+    import corpus_pipeline
+
+    long, half, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("l", 51), ("h", 30), ("s", 50)))
+    rows = [(1, f"p\n{long}\nq\n{short}"), (2, f"x\n {long}\ny\n{short}"), (3, long), (4, f"{half}\n\n{half}!\nz"), (5, f"w\n{half}\n{half}!"), (6, f"{long}\n{long}\nlast"), (7, None), (8, f"{long}\n{half}"), (9, half)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, DIR).collect()}
+    assert got == {1: rows[0][1], 2: f"x\ny\n{short}", 4: rows[3][1], 5: "w", 6: "last", 7: None, 8: half, 9: half}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == dict(rows)
+    seen = Counter(x.strip(" \t\r") for r in corpus_pipeline.dedup_lines(spark, docs, DIR).collect() for x in (r.text or "").split("\n") if len(re.findall(WORD, x)) > 50)
+    assert max(seen.values(), default=1) == 1
+
+
 def test_mixing_sql(spark, docs):
     duckdb.sql(f"create or replace view documents as from '{DIR}/documents.parquet'")
     assert Counter(map(tuple, mixing.mix_sources(docs).collect())) == Counter(duckdb.sql(mixing.ORACLE).fetchall())
