@@ -2,14 +2,18 @@
 
 A mix of as many words as the corpus has is divided in equal blocks of words.  Blocks go
 to sources by the highest quotients target / (2k + 1), then in the same way to the shards
-of each source, so every shard has an integer quota.  Inside a shard documents are strung
+of each source, so every shard has an integer quota.  A source whose target is under
+``FEW_BLOCKS`` blocks would win none, or a count far from its target: it gets its target
+in words beforehand, in units of its own, and the blocks that are left go to the others.
+(The SQL below knows no such sources; with none the two are equal.)  Inside a shard documents are strung
 together in seeded order; the quota's full passes repeat all of them, and the rest takes
 blocks from the front of the seeded order, the last one cutting a document.
 
 Scale: only (doc_id, source, size) rows are exchanged, never a text.  A large source is
 split over many shards, so no task orders more than about 1/512 of all words.  The
 quotients that can win number at most ``blocks`` + 1.5 per source or shard, whatever the
-corpus, and they alone are ranked in one place.
+corpus, and they alone are ranked in one place; a source of few blocks has one unit, or
+up to 2 ``UNITS`` if it is large enough for several shards (at most ``blocks`` / 128 are).
 
 Defined results: null text has size 0; null source is a source of its own, last; a null
 doc_id is ordered like the text 'null'; a corpus without words takes nothing; rows that
@@ -23,6 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch
 
+#: Targets of fewer blocks are not rounded to blocks; from here on a block is 1.6 %.
+FEW_BLOCKS = 64
+
+#: Least units of a target under FEW_BLOCKS that is dealt over several shards.
+UNITS = 1024
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,24 +84,32 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int
     shared = F.sum(F.when(~F.col("full"), F.col("weight")).otherwise(0)).over(one)
     size = size.withColumn("target", F.when(F.col("full"), (F.col("source_size") * most).cast("double")).otherwise(left * F.col("weight") / F.greatest(shared, F.lit(1))))
     size = size.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(blocks)))).cast("long"))
-    size = size.withColumn("blocks", F.floor(F.col("total") / F.col("block")).cast("long"))
-    sources = scratch.table(size.select("source", "rank", "source_size", "target", "block", "blocks", F.greatest(F.lit(1), F.floor(F.col("source_size") / (64 * F.col("block")))).cast("long").alias("shards")))
+    size = size.withColumn("shards", F.greatest(F.lit(1), F.floor(F.col("source_size") / (64 * F.col("block")))).cast("long"))
+    # Sources of few blocks: one unit of all their words, or many over several shards.
+    size = size.withColumn("few", (F.col("block") > 1) & (F.col("target") < FEW_BLOCKS * F.col("block")))
+    words = F.round("target").cast("long")
+    unit = F.greatest(F.lit(1), F.when(F.col("shards") == 1, words).otherwise(F.floor(F.col("target") / UNITS))).cast("long")
+    size = size.withColumn("unit", F.when(F.col("few"), unit).otherwise(F.col("block")))
+    size = size.withColumn("units", F.when(F.col("few"), F.round(F.col("target") / F.col("unit"))).cast("long"))
+    given = F.sum(F.when(F.col("few"), F.col("unit") * F.col("units")).otherwise(0)).over(one)
+    size = size.withColumn("blocks", F.greatest(F.lit(0), F.floor((F.col("total") - given) / F.col("block"))).cast("long"))
+    sources = scratch.table(size.select("source", "rank", "source_size", "target", "few", "unit", "units", "blocks", "shards"))
     n_sources = sources.count()
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if n_sources + blocks <= BROADCAST_ROWS else df
 
-    won = apportion(sources, ["rank"], [], "blocks", "target", ["rank"])
-    quota = sources.join(won, "rank", "left").withColumn("quota", F.coalesce("won", F.lit(0))).drop("won")
+    won = apportion(sources.where(~F.col("few")), ["rank"], [], "blocks", "target", ["rank"])
+    quota = sources.join(won, "rank", "left").withColumn("quota", F.coalesce("units", "won", F.lit(0))).drop("won", "units", "few")
 
     # Shards: a document's seeded hash deals it out and, in full, orders it.
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     dealt = rows.join(small(quota), rows["source"].eqNullSafe(quota["source"])).drop("source").withColumn("_hash", hashed)
     dealt = dealt.withColumn("_shard", F.pmod(F.conv(F.substring("_hash", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    shard = dealt.groupBy("rank", "_shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("block").alias("block"))
+    shard = dealt.groupBy("rank", "_shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("unit").alias("unit"))
     own = apportion(shard, ["rank", "_shard"], ["rank"], "quota", "shard_size", ["_shard"])
     shard = shard.join(own, ["rank", "_shard"], "left")
-    words = F.least(F.coalesce("won", F.lit(0)) * F.col("block"), F.col("shard_size") * most)
+    words = F.least(F.coalesce("won", F.lit(0)) * F.col("unit"), F.col("shard_size") * most)
     shard = scratch.table(shard.select("rank", "_shard", "shard_size", words.alias("words")))
 
     string = Window.partitionBy("rank", "_shard").orderBy("_hash", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)

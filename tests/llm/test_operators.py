@@ -175,6 +175,26 @@ def test_mixing_edges(spark, odd):
     assert all(r.taken == 0 for r in mixing.mix_sources(odd.where("text is null")).collect())
 
 
+def test_mixing_small_sources(spark):
+    def mixed(groups, blocks):
+        rows = [(n * 1000 + k, s, " ".join(["w"] * words)) for n, (s, number, words) in enumerate(groups) for k in range(number)]
+        by = {}
+        for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), blocks=blocks, keep=["source"]).collect():
+            size, target, taken, docs = by.get(r._row.source, (0, 0, 0, 0))
+            by[r._row.source] = (size + r.size, r.target, taken + r.taken, docs + 1)
+            assert 0 <= r.taken <= 3 * r.size
+        total = sum(v[0] for v in by.values())
+        assert total - 2 * -(-total // blocks) <= sum(v[2] for v in by.values()) <= total
+        return by
+
+    # beside a hot source: under half a block, half a block, a few blocks
+    by = mixed([("a", 400, 100), ("b", 3, 11), ("c", 6, 40), ("d", 9, 90)], 64)
+    assert {s: by[s][2] for s in "bcd"} == {"b": 99, "c": 720, "d": 2430} and by["a"][2] == pytest.approx(by["a"][1], rel=0.02)
+    # a large source whose target is a few blocks, over several shards, among many small ones
+    by = mixed([("z", 800, 100), *((f"s{n:03}", 3, 200) for n in range(200))], 512)
+    assert by["z"][1] < 20 * 392 and all(taken == pytest.approx(target, rel=2e-3) for _, target, taken, _ in by.values())
+
+
 # ---- 5 and 9
 
 
