@@ -7,7 +7,7 @@ as Parquet and read again before the next, so a lost executor costs one stage at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colonnade.llm import line_dedup, minhash, mixing, packing, quality
@@ -32,10 +32,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8), that of least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    unnamed = docs.where("doc_id is null")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(unnamed)
+    """One document of each group of near-duplicates (five words, 0.8), that of least doc_id.
+
+    Rows that share a doc_id but not the text are documents of their own, ordered by the
+    text's hash; rows of one doc_id and text are one, that of least hash of all columns.
+    """
+    named, text = docs.where("doc_id is not null").withColumn("_n", F.col("doc_id").cast("long")), F.xxhash64("text")
+    spans = named.select("doc_id", text.alias("_text")).groupBy("doc_id").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
+    if not spans.where("low <> high").isEmpty():  # numbers in the order of doc_id and text, in place of ids
+        scratch = Scratch(spark)
+        numbers = named.select("doc_id", text.alias("_text")).distinct().repartitionByRange("doc_id", "_text").sortWithinPartitions("doc_id", "_text")
+        numbers = scratch.table(numbers.withColumn("_n", F.monotonically_increasing_id()))
+        named = scratch.table(named.drop("_n").withColumn("_text", text).join(numbers, ["doc_id", "_text"]))
+    kept = minhash.near_duplicates(named.select(F.col("_n").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_n")).distinct()
+    first = F.row_number().over(Window.partitionBy("_n").orderBy(F.xxhash64(*docs.columns)))
+    return named.join(kept, "_n", "left_semi").withColumn("_first", first).where("_first = 1").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -395,3 +395,18 @@ def test_pipeline(spark, docs, odd, tmp_path):
         stay, frame = frame, out
     packed = {r[0] for r in frame.select("doc_id").distinct().collect()}
     assert packed == {r[0] for r in stay.select("doc_id").distinct().collect()}
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    rows = [(7, a, "x"), (7, b, "x"), (8, a, "x"), (3, c, "x"), (9, c + " z", "x"), (9, d, "x"), (9, d, "y"), (4, e, "x"), (4, e + " z", "x"), (None, e, "x"), (5, None, "x"), (5, a + " z", "x")]
+    for n in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(n)
+        got = corpus_pipeline.dedup_documents(spark, df, DIR).collect()
+        ids = Counter((r.doc_id, r.text) for r in got)
+        one = (4, e) if (4, e) in ids else (4, e + " z")
+        assert ids == Counter([(5, None), (5, a + " z"), (7, b), (3, c), (9, d), one, (None, e)])
+        assert n == 1 or seen == Counter(map(tuple, got))
+        seen = Counter(map(tuple, got))
