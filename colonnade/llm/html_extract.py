@@ -1,23 +1,35 @@
 """Main text of web pages by site template removal.
 
-Each page is parsed into block-level element subtrees.  Subtrees are hashed, their pages
-counted per host in Spark, and those that recur across many pages of a host are deleted
-as that site's template.  Sections that HTML itself or their class, id or role marks as
-menu, header, footer, sidebar, notice, advert, form or reader comments go as well, as
-menus often differ from page to page.
-
-Scale: two scans of ``pages`` with one small exchange of (host, hash) counts, partially
-aggregated, so a host with a third of all pages costs no more than any other.  A host's
-list of recurring hashes is bounded: a subtree in the list stands on at least
-``min_share`` of the host's pages, so there are at most mean-subtrees-per-page /
-``min_share`` of them.  The lists are broadcast only if counted below BROADCAST_ROWS.
+Every page is parsed into the subtrees of its block-level elements.  Each subtree is
+hashed, bottom up and before any rule about classes or elements, and the pages that hold
+it are counted per host in Spark.  A subtree recurs if it stands on ``min_pages`` pages of
+its host.  What recurs may also be an article's own passage that other articles quote, so
+recurrence is read by slot, the path of elements (with class and id, digits left out) from
+the page's root: a recurring subtree is deleted as template if at least ``min_share`` of
+all that stands in its slot on that host recurs.  Menus and footers meet that even when a
+site rotates dozens of them; paragraphs of articles do not.  The slot that holds most
+distinct text of a host is its content and never template, nor are html, body, main and
+article.  A page made of nothing but template is a copy of another and keeps its text.
+
+What is left for rules: sections that HTML itself or their class, id or role marks as
+menu, header, footer, sidebar, notice, advert, form or reader comments go as well, as a
+host of few pages shows no recurrence.  ``n_template_blocks`` and ``n_rule_blocks`` say
+how many blocks of text went by counting, and how many by rules alone.
+
+Scale: two scans of ``pages``; (host, subtree) counts are partially aggregated, written
+once, and are the only exchange, so a host with a third of all pages costs no more than
+any other.  The hashes to delete are broadcast if counted below BROADCAST_ROWS; beyond
+that they are joined by host, hosts of many pages split by salts.  Parsing is linear in
+the length of a page, whatever its nesting.
 
 Defined results: null html or html without text gives '' and 0; a null url is a host of
-its own; repeated page_ids are rows like any other; extra columns are ignored.
+its own; repeated page_ids are rows like any other; an empty table gives no row; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as _html
 import re
 
@@ -28,7 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, texts_of, tune
 
+#: Pages of a host that one salt of the shuffled join takes.
+SALT_PAGES = 20_000
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[a-zA-Z/!?][^>]*>?)", re.S)
+#: The same without regard to quotes, for the rest of a page after a quote that never ends.
+_BARE = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[a-zA-Z/!?][^>]*>?)", re.S)
 #: Elements whose content is no markup.
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style textarea title xmp iframe noembed noframes".split()}
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -66,6 +83,7 @@ _MARKS = frozenset(
     "discussion disqus replies widget widgets toolbar pagination pager search contentinfo complementary".split()
 )
 _WORD = re.compile(r"[a-z]+")
+_DIGITS = re.compile("[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -80,42 +98,89 @@ def _marked(attrs: str, within_article: bool) -> bool:
     return False
 
 
-class _Node:
-    __slots__ = ("attrs", "drop", "end", "holds", "main", "parent", "start", "tag")
+class Node:
+    """An element: ``key`` is the hash of its subtree, ``slot`` of its path, ``size`` its own text's length."""
+
+    __slots__ = ("attrs", "drop", "gone", "holds", "key", "main", "parent", "parts", "size", "slot", "tag")
+
+    def __init__(self, tag: str, attrs: str, parent: Node | None):
+        self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.parts, self.size, self.key = [], 0, 0
+        self.drop, self.gone, self.holds, self.main = False, False, False, False
+        names = " ".join(sorted(_DIGITS.sub("", (a or b or c).lower()) for _, a, b, c in _ATTR.findall(attrs))) if attrs else ""
+        self.slot = _hash(f"{parent.slot if parent else 0} {tag} {names}")
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+class _Open:
+    """The stack of open elements; finding one by name takes constant time."""
+
+    def __init__(self):
+        self.root = Node("#root", "", None)
+        self.stack, self.at, self.blocks = [self.root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element of ``tags``, or 0."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else 0
+
+    def cut(self, depth: int) -> None:
+        """Closes everything from ``depth`` on, each hash into its parent's."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            node.key = _hash("\n".join((node.tag, *node.parts)))
+            node.parts = ()
+            if node.parent is None:
+                break
+            node.parent.parts.append(f"<{node.key}>")
+            self.at[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+
+
+def _folded(text: str) -> str:
+    return " ".join((_html.unescape(text) if "&" in text else text).split())
+
 
-    def __init__(self, tag, attrs, parent, start):
-        self.tag, self.attrs, self.parent, self.start = tag, attrs, parent, start
-        self.end, self.drop, self.holds, self.main = None, False, False, False
+Chunks = list[tuple[str, Node]]
 
 
-def parse_blocks(page: str) -> list[tuple[str, list[_Node]]]:
-    """(text, enclosing block-level nodes from the innermost) of each block of the article."""
-    root = _Node("#root", "", None, 0)
-    stack, nodes, blocks, held, inline = [root], [], [], [], set()
+def parse(page: str) -> tuple[list[Node], list[Chunks]]:
+    """(elements in page order, the root first; blocks of text as chunks with the innermost element)."""
+    opened, blocks, held, inline = _Open(), [], [], set()
+    stack, nodes = opened.stack, [opened.root]
 
     def flush():
         if held:
-            text = "".join(held)
-            held.clear()
-            text = " ".join((_html.unescape(text) if "&" in text else text).split())
+            text = _folded("".join([t for t, _ in held]))
             if text:
-                blocks.append((text, stack[-1]))
-
-    def pop_to(depth, at):
-        for node in stack[depth:]:
-            node.end = at
-        del stack[depth:]
+                node = stack[opened.block()]
+                node.parts.append(text)
+                node.size += len(text)
+                blocks.append(held.copy())
+            held.clear()
 
-    at = 0
-    for m in _TAG.finditer(page):
+    at, pattern = 0, _TAG
+    while m := pattern.search(page, at):
         start, stop = m.span()
-        if start < at:
-            continue  # inside a script or the like
         if start > at:
-            held.append(page[at:start])
+            held.append((page[at:start], stack[-1]))
         at = stop
         closing, tag, attrs = m.groups()
         if not tag:
+            if page[start + 1 : start + 2].isalpha():  # a quote without an end
+                pattern = _BARE
             continue
         tag = tag.lower()
         if tag in _RAW:
@@ -129,52 +194,47 @@ def parse_blocks(page: str) -> list[tuple[str, list[_Node]]]:
                 flush()
             elif tag not in inline:
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    if not block:
-                        if any(x.tag in _BLOCK for x in stack[depth + 1 :]):
-                            break
-                    pop_to(depth, stop)
-                    break
+            depth = opened.last((tag,))
+            if depth and (block or depth > opened.block()):
+                opened.cut(depth)
             continue
         if block:
             flush()
             if tag not in _ROOT or tag in ("article", "main"):
-                for depth in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
-                    if stack[depth].tag == "p":
-                        pop_to(depth, start)
-                        break
-                    if stack[depth].tag in _BLOCK:
-                        break
+                depth = opened.block()  # an open paragraph ends where a block begins
+                if depth and stack[depth].tag == "p":
+                    opened.cut(depth)
             if tag in _CLOSES:
                 closed, limit = _CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in limit:
-                        break
-                    if stack[depth].tag in closed:
-                        pop_to(depth, start)
-                        if tag not in ("tr",):
-                            break
+                floor = opened.last(limit)
+                if tag == "tr":
+                    found = [d for t in closed if (held_at := opened.at.get(t)) for d in held_at[bisect.bisect_right(held_at, floor) :][:1]]
+                    if found:
+                        opened.cut(min(found))
+                elif (depth := opened.last(closed)) > floor:
+                    opened.cut(depth)
         if tag == "br":
-            held.append(" ")
+            held.append((" ", stack[-1]))
         if tag in _VOID:
             continue
         if not block:
             if attrs.rstrip().endswith("/"):
                 continue
-            if tag in _DROP:
-                flush()
-            elif not attrs or not _TELLING.search(attrs):
+            if tag not in _DROP and not (attrs and _TELLING.search(attrs)):
                 continue  # an inline element that nothing can drop needs no node
             inline.add(tag)
-        node = _Node(tag, attrs, stack[-1], start)
+        node = Node(tag, attrs, stack[-1])
         nodes.append(node)
-        stack.append(node)
-    held.append(page[at:])
+        opened.push(node)
+    held.append((page[at:], stack[-1]))
     flush()
-    pop_to(0, len(page))
+    opened.cut(0)
+    return nodes, blocks
+
 
-    for node in nodes:  # parents come before children
+def by_rules(nodes: list[Node]) -> None:
+    """Marks what elements, classes, ids and roles tell to be no part of an article (``drop``)."""
+    for node in nodes[1:]:  # parents come before children
         up = node.parent
         node.main = up.main
         if node.tag in ("article", "main") or (node.attrs and _MAIN.search(node.attrs)):
@@ -183,7 +243,7 @@ def parse_blocks(page: str) -> list[tuple[str, list[_Node]]]:
                 while up is not None and not up.holds:
                     up.holds = True
                     up = up.parent
-    for node in nodes:
+    for node in nodes[1:]:
         if node.parent.drop:
             node.drop = True
         elif node.tag in _DROP or (node.tag == "header" and not node.parent.main):
@@ -191,74 +251,96 @@ def parse_blocks(page: str) -> list[tuple[str, list[_Node]]]:
         elif node.attrs and node.tag not in ("html", "body"):
             node.drop = not node.holds and (_marked(node.attrs, node.parent.main) or bool(_HIDDEN.search(node.attrs)))
     articles = any(x.main and not x.drop for x in nodes)
-    out = []
-    for text, node in blocks:
-        if node.drop or (articles and not node.main):
-            continue
-        chain = []
-        while node is not None and node.tag != "#root":
-            if node.tag in _BLOCK and node.tag not in _ROOT:
-                chain.append(node)
-            node = node.parent
-        out.append((text, chain))
-    return out
+    for node in nodes:
+        node.drop = node.drop or (articles and not node.main)
+
 
+def _able(node: Node) -> bool:
+    """Whether a subtree may be template."""
+    return node.tag in _BLOCK and node.tag not in _ROOT
 
-def _key(host: int, page: str, node: _Node) -> int:
-    slice_ = " ".join(page[node.start : node.end].split())
-    return xxhash.xxh3_64_intdigest(slice_.encode("utf-8", "surrogatepass"), seed=host & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+def _key(host: int, node: Node) -> int:
+    return ((node.key ^ host) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def extract(page: str, host: int, listed: frozenset[int]) -> tuple[str, int, int]:
+    """(text, blocks that went as template, blocks that went by rules alone) of a page."""
+    nodes, blocks = parse(page)
+    by_rules(nodes)
+    if listed:
+        for node in nodes[1:]:
+            node.gone = node.parent.gone or (_able(node) and not node.holds and _key(host, node) in listed)
+    if not any(not node.gone and not node.drop for chunks in blocks for _, node in chunks):
+        for node in nodes:  # nothing would be left: a copy
+            node.gone = False
+    kept, template, ruled = [], 0, 0
+    for chunks in blocks:
+        text = _folded("".join([t for t, node in chunks if not node.gone and not node.drop]))
+        if text:
+            kept.append(text)
+        elif all(node.gone for t, node in chunks if t.strip()):
+            template += 1
+        else:
+            ruled += 1
+    return "\n\n".join(kept), template, ruled
 
 
 def _subtrees(batches):
+    kinds = {"host": pa.int64(), "key": pa.int64(), "slot": pa.int64(), "size": pa.int64()}
     for batch in batches:
-        hosts, keys = [], []
+        out = []
         for host, page in zip(batch.column("host").to_pylist(), texts_of(batch, "html"), strict=True):
-            nodes = {id(n): n for _, chain in parse_blocks(page) for n in chain}
-            own = {_key(host, page, n) for n in nodes.values()}
-            hosts.extend([host] * (len(own) + 1))
-            keys.append(None)  # counts the page itself
-            keys.extend(own)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(keys, pa.int64())], names=["host", "key"])
+            found = {_key(host, n): (n.slot - (1 << 63), n.size) for n in parse(page)[0] if _able(n)}
+            out.extend((host, key, *rest) for key, rest in found.items())
+        cols = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
 def _extracted(batches):
+    names = ["page_id", "url", "text", "n_chars", "n_template_blocks", "n_rule_blocks"]
     for batch in batches:
-        texts, gone = [], []
-        pages = texts_of(batch, "html")
-        for host, page, listed in zip(batch.column("host").to_pylist(), pages, batch.column("template").to_pylist(), strict=True):
-            listed, known, kept, cut = frozenset(listed or ()), {}, [], 0
-            for text, chain in parse_blocks(page):
-                for node in chain if listed else ():
-                    if id(node) not in known:
-                        known[id(node)] = _key(host, page, node) in listed
-                    if known[id(node)]:
-                        cut += 1
-                        break
-                else:
-                    kept.append(text)
-            texts.append("\n\n".join(kept))
-            gone.append(cut)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64()), pa.array(gone, pa.int64())],
-            names=["page_id", "url", "text", "n_chars", "n_template_blocks"],
-        )
-
-
-def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.6) -> DataFrame:
-    """(page_id, url, text, n_chars, n_template_blocks) of each row of ``pages`` (page_id, url, html).
-
-    A subtree is a host's template if it stands on at least ``min_pages`` pages and
-    ``min_share`` of the pages of that host.
+        found, known = [], {}
+        for host, page, listed in zip(batch.column("host").to_pylist(), texts_of(batch, "html"), batch.column("template"), strict=True):
+            if host not in known:
+                known[host] = frozenset(listed.as_py() or ())
+            found.append(extract(page, host, known[host]))
+        text, template, ruled = zip(*found, strict=True) if found else ((), (), ())
+        cols = [pa.array(text, pa.string()), pa.array(map(len, text), pa.int64()), pa.array(template, pa.int64()), pa.array(ruled, pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *cols], names=names)
+
+
+def templates(rows: DataFrame, scratch: Scratch, min_pages: int, min_share: float) -> DataFrame:
+    """(host, key) of the subtrees to delete from ``rows`` (host, html)."""
+    found = rows.select("host", "html").mapInArrow(_subtrees, "host long, key long, slot long, size long")
+    counts = scratch.table(found.groupBy("host", "key", "slot").agg(F.count(F.lit(1)).alias("pages"), F.max("size").alias("size")))
+    recurs = F.col("pages") >= min_pages
+    slots = counts.groupBy("host", "slot").agg(F.sum("pages").alias("all"), F.sum(F.when(recurs, F.col("pages")).otherwise(0)).alias("again"), F.sum("size").alias("size"))
+    content = slots.groupBy("host").agg(F.max_by("slot", F.struct("size", "slot")).alias("content"))
+    able = slots.where(F.col("again") >= F.lit(float(min_share)) * F.col("all")).where("again > 0").join(content, "host").where("slot <> content").select("host", "slot")
+    return scratch.table(counts.where(recurs).join(able, ["host", "slot"], "left_semi").select("host", "key"))
+
+
+def extract_main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0.8) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template_blocks, n_rule_blocks) of each row of ``pages`` (page_id, url, html).
+
+    A subtree recurs if it stands on at least ``min_pages`` pages of its host, and is
+    template if at least ``min_share`` of what fills its slot on that host recurs.
     """
-    tune(pages.sparkSession)
-    name = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    spark = pages.sparkSession
+    tune(spark)
+    scratch = Scratch(spark)
+    name = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64(name).alias("host"))
-    counts = rows.select("host", "html").mapInArrow(_subtrees, "host long, key long").groupBy("host", "key").count()
-    size = counts.where("key is null").select("host", F.col("count").alias("pages"))
-    often = counts.where(f"key is not null and count >= {int(min_pages)}").join(size, "host").where(F.col("count") >= F.lit(float(min_share)) * F.col("pages"))
-    template = often.groupBy("host").agg(F.collect_list("key").alias("template"))
-    template = Scratch(pages.sparkSession).table(template)
-    total = template.agg(F.sum(F.size("template") + 2)).first()[0] or 0
-    if total <= BROADCAST_ROWS:
-        template = F.broadcast(template)
-    return rows.join(template, "host", "left").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, n_template_blocks long")
+    listed = templates(rows, scratch, min_pages, min_share)
+    number, per_host = listed.count(), listed.groupBy("host").agg(F.collect_set("key").alias("template"))
+    if number <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(per_host), "host", "left")
+    else:  # the hosts of over SALT_PAGES pages are few, at most rows / SALT_PAGES
+        hot = rows.groupBy("host").count().where(F.col("count") > SALT_PAGES).select("host", F.ceil(F.col("count") / SALT_PAGES).cast("int").alias("salts"))
+        hot = F.broadcast(scratch.table(hot))
+        salts = F.coalesce("salts", F.lit(1))
+        dealt = rows.join(hot, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), salts).cast("int")).drop("salts")
+        spread = per_host.join(hot, "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        joined = dealt.join(spread, ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "host", "template").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long, n_template_blocks long, n_rule_blocks long")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -36,23 +37,102 @@ def odd(spark):
 # ---- 1
 
 
+def _texts(page):
+    text = html_extract.extract(page, 1, frozenset())[0]
+    return text.split("\n\n") if text else []
+
+
 def test_html():
     page = """<!doctype html><html><head><title>T</title></head><body><header>Site</header><nav><p>menu</p></nav>
-    <aside>side</aside><article><h1>Head &amp; tail</h1><p>One <b>bold</b>&nbsp;word<br>next <p>Two<ul><li>x<li>y</ul>
+    <aside>side</aside><article><h1>Head &amp; tail</h1><p>One <b>bold</b>&nbsp;word<br>next <button>go</button><p>Two<ul><li>x<li>y</ul>
     <div class="advert">buy</div><form>name</form><script>"<p>no</p>"</script></article>
     <section id="comments"><article class="comment">nice</article></section><footer>end</footer>"""
-    assert [t for t, _ in html_extract.parse_blocks(page)] == ["Head & tail", "One bold word next", "Two", "x", "y"]
-    assert html_extract.parse_blocks("") == [] and html_extract.parse_blocks("<p") == []
-    assert [t for t, _ in html_extract.parse_blocks("1 < 2 &lt; 3")] == ["1 < 2 < 3"]
-    assert [t for t, _ in html_extract.parse_blocks("<p>a</p>" + "<div>" * 3000 + "deep")] == ["a", "deep"]
+    assert _texts(page) == ["Head & tail", "One bold word next", "Two", "x", "y"]
+    assert _texts("") == [] and _texts("<p") == []
+    assert _texts("1 < 2 &lt; 3") == ["1 < 2 < 3"]
+    assert _texts("<p>a</p>" + "<div>" * 3000 + "deep") == ["a", "deep"]
+    assert _texts("<div><table><tr><td>a<td>b<tr><td>c</table>d<p>e<span hidden>z</span>f") == ["a", "b", "c", "d", "ef"]
+
+
+@pytest.mark.parametrize("made", [lambda n: "<div>a" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<b class=x>" + "<div>" * n + "</b>" * n, lambda n: "(<x \"'>)" * n, lambda n: "<table>" * n + "<tr><td>" * n])
+def test_html_parses_in_linear_time(made):
+    took = []
+    for n in (10_000, 160_000):  # up to a page of about a megabyte
+        at = time.perf_counter()
+        html_extract.extract(made(n), 1, frozenset([1]))
+        took.append(time.perf_counter() - at)
+    assert took[1] < 64 * took[0] + 1  # quadratic time would give 256
 
 
 def test_html_templates(spark):
-    rows = [(i, f"https://h.example/{i}", f"<body><div><p>Sign up for offers</p></div><div><p>Story {i}</p></div></body>", 1) for i in range(12)]
+    rows = [(i, f"https://h.example/{i}", f"<body><div><p>Sign up for offers</p></div><div><p>Story {i}</p><p>all about {i}</p></div></body>", 1) for i in range(12)]
     rows += [(50, "https://other.example/", "<body><p>Sign up for offers</p></body>", 1), (51, None, None, 1), (51, None, "", 1)]
-    got = {(r.page_id, r.url): (r.text, r.n_chars) for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host int")).collect()}
-    assert all(got[i, f"https://h.example/{i}"] == (f"Story {i}", len(f"Story {i}")) for i in range(12))
-    assert got[50, "https://other.example/"] == ("Sign up for offers", 18) and got[51, None] == ("", 0)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int").selectExpr("*", "1 as key", "2 as slot", "'x' as template")
+    got = {(r.page_id, r.url): r for r in html_extract.extract_main_text(df, min_share=0.5).collect()}
+    assert all((got[i, u].text, got[i, u].n_template_blocks, got[i, u].n_rule_blocks) == (f"Story {i}\n\nall about {i}", 1, 0) for i, u in ((i, f"https://h.example/{i}") for i in range(12)))
+    assert got[50, "https://other.example/"].text == "Sign up for offers" and got[51, None].text == "" and len(got) == 14
+    assert html_extract.extract_main_text(df.limit(0)).collect() == []
+
+
+def _site(r, pages):
+    """Pages of two hosts with rotating unmarked menus and footers, and passages that articles share."""
+    rows, shared = [], [f"Quoted passage {k} of many words" for k in range(3)]
+    for i in range(pages):
+        host = "ab"[int(r.integers(0, 10) == 0)]
+        menu = "".join(f"<li>menu {int(k)}</li>" for k in r.integers(0, 3, 2))
+        inner = "".join(f"<p>own words {i} {k} and more of them</p>" for k in range(int(r.integers(2, 5)))) + (f"<p>{shared[int(r.integers(0, 3))]}</p>" if r.random() < 0.4 else "")
+        foot = "" if r.random() < 0.2 else f"<div><p>legal {int(r.integers(0, 5))}</p></div>"
+        rows.append((i, f"http://{host}.example/{i}", f"<body><div class='top{i}'><ul>{menu}</ul></div><div class=text>{inner}</div>{foot}</body>"))
+    return rows
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_html_templates_by_brute_force(spark, monkeypatch, broadcast):
+    import re as _re
+    from xml.etree import ElementTree
+
+    if not broadcast:
+        monkeypatch.setattr(html_extract, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(html_extract, "SALT_PAGES", 40)
+    rows = _site(np.random.default_rng(4), 160)
+    held = {}  # host -> slot -> subtree -> pages
+    trees = {}
+    for i, url, page in rows:
+        tree = ElementTree.fromstring(_re.sub(r"class='?(\w+)'?", r'class="\1"', page))
+        trees[i] = (url[7], tree)
+
+        def walk(e, path):
+            name = _re.sub("[0-9]", "", e.get("class") or "")
+            path = (*path, (e.tag, name))
+            if e.tag != "body":
+                what = ElementTree.tostring(_plain(e))
+                held.setdefault(url[7], {}).setdefault(path, {}).setdefault(what, set()).add(i)
+            for c in e:
+                walk(c, path)
+
+        def _plain(e):
+            out = ElementTree.Element(e.tag)
+            out.text = e.text
+            out.extend(_plain(c) for c in e)
+            return out
+
+        walk(tree, ())
+    drop = set()
+    for host, slots in held.items():
+        own = {path: sum(len(ElementTree.fromstring(w).text or "") for w in whats) for path, whats in slots.items()}
+        content = max(own, key=own.get)
+        for path, whats in slots.items():
+            again = sum(len(p) for p in whats.values() if len(p) >= 3)
+            if path != content and again and again >= 0.8 * sum(len(p) for p in whats.values()):
+                drop |= {(host, w) for w, p in whats.items() if len(p) >= 3}
+
+    def kept(host, e, gone=False):
+        gone = gone or (e.tag != "body" and (host, ElementTree.tostring(_plain(e))) in drop)
+        return ([e.text] if e.text and not gone else []) + [t for c in e for t in kept(host, c, gone)]
+
+    got = {r.page_id: r for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: "\n\n".join(kept(*t)) for i, t in trees.items()}
+    assert any(h == "a" for h, _ in drop) and sum(r.n_template_blocks for r in got.values()) > 300 and all("Quoted" in r.text for r in got.values() if "Quoted" in rows[r.page_id][2])
 
 
 # ---- 2
