@@ -12,8 +12,8 @@ each.  The shorter ones follow in classes of halving length, each in rounds:
    by rank, like matching brackets, from two numbers per range;
 4. gaps are updated, and the next round starts.
 
-A class's rounds end when a round places nothing; the documents that no gap can hold are
-then dealt out by row number, and every share opens sequences for itself, best fit, longest
+A class's rounds end when a round places under a hundredth of its documents; those without a
+gap are then dealt out by row number, and every share opens sequences for itself, best fit, longest
 first, so no share wastes more than its last sequence.
 
 Scale: texts are read once and never exchanged; a round exchanges rows of 60 bytes, only
@@ -80,9 +80,13 @@ _PIECE = re.compile(rf"[a-z{_LOWER}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 class Encoder:
-    """Token ids of texts as little-endian uint32 bytes; a worker keeps the ids of short chunks."""
+    """Token ids of texts as little-endian uint32 bytes; a worker keeps the ids of short chunks.
 
-    LONGEST, MOST_BYTES = 64, 48 << 20
+    Proven chunks are one word each, and only a word's last token is marked as its end.  So
+    new ones are encoded many in a call, with blanks between, and told apart by that mark.
+    """
+
+    LONGEST, MOST_BYTES, TOGETHER = 64, 192 << 20, 500
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -92,7 +96,11 @@ class Encoder:
             said = json.load(f)
         cut = ((said.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         plain = all(not t["normalized"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) and t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in said["added_tokens"])
-        self.known = plain and (said.get("normalizer") or {}).get("normalizers") == _NORMALIZER and cut.get("pattern") == {"Regex": _SPLIT} and said["model"].get("continuing_subword_prefix") is None
+        suffix = said["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.known = bool(suffix) and plain and (said.get("normalizer") or {}).get("normalizers") == _NORMALIZER and cut.get("pattern") == {"Regex": _SPLIT} and said["model"].get("continuing_subword_prefix") is None
 
     def split(self, text: str) -> list[str]:
         if not self.known:
@@ -107,19 +115,27 @@ class Encoder:
                 out.extend(_PIECE.findall(chunk.lower()))
         return out
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         lists = [self.split(t) for t in texts]
         if self.held > self.MOST_BYTES:
             self.chunks.clear()
             self.held = 0
-        new = list({c for parts in lists for c in parts}.difference(self.chunks))
-        long = []
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.chunks[c] = np.asarray(e.ids, "<u4").tobytes()
-            if len(c) > self.LONGEST:
-                long.append(c)
-            else:
-                self.held += 200 + len(c)
+        new = {c for parts in lists for c in parts}.difference(self.chunks)
+        words = [c for c in new if self.known and not _UNPROVEN.search(c)]
+        groups = [words[at : at + self.TOGETHER] for at in range(0, len(words), self.TOGETHER)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(group):
+                continue  # left to the calls one by one
+            raw = ids.tobytes()
+            self.chunks.update(zip(group, map(raw.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+        rest = list(new.difference(self.chunks))
+        self.chunks.update(zip(rest, (ids.tobytes() for ids in self._ids(rest)), strict=True))
+        long = [c for c in new if len(c) > self.LONGEST]
+        self.held += sum(200 + len(c) for c in new) - sum(200 + len(c) for c in long)
         out = [b"".join(map(self.chunks.__getitem__, parts)) for parts in lists]
         for c in long:
             del self.chunks[c]
@@ -292,14 +308,15 @@ def _round(spark, scratch: Scratch, todo: DataFrame, gaps: DataFrame, parts: int
     shares = [] if opening is not None else settle({p: n for (what, p), (n, _) in count.items() if what == PENDING}, {p: able for (what, p), (_, able) in count.items() if what == GAP})
     if shares:
         served = sum(r[2] - r[1] for r in shares)
-        share = F.broadcast(spark.createDataFrame(shares, "part int, low long, high long, at int, begin long"))  # two rows per range at most
-        ranked = pending.join(share, "part", "left").where("low is null or (rank >= low and rank < high)")
-        # a pending document beyond its range's shares keeps waiting
-        last = {p: max(r[2] for r in shares if r[0] == p) for p in {r[0] for r in shares}}
-        over = F.broadcast(spark.createDataFrame(sorted(last.items()), "part int, over long"))
-        waiting = pending.join(over, "part").where("rank >= over").drop("over")
-        waiting = waiting.union(pending.join(over, "part", "left_anti"))
-        ranked = ranked.where("low is not null").select(*_PIECE_COLUMNS, "at", (F.col("begin") + F.col("rank") - F.col("low")).alias("of"))
+        by_range = {}
+        for part, *share in shares:
+            by_range.setdefault(part, []).append(tuple(share))
+        kinds = "part int, shares array<struct<low: long, high: long, at: int, begin: long>>"
+        dealt = F.broadcast(spark.createDataFrame(sorted(by_range.items()), kinds))  # two shares per range at most
+        mine = F.get(F.filter("shares", lambda s: (F.col("rank") >= s["low"]) & (F.col("rank") < s["high"])), F.lit(0))
+        asked = pending.join(dealt, "part", "left").withColumn("share", mine)
+        waiting = asked.where("share is null")
+        ranked = asked.where("share is not null").select(*_PIECE_COLUMNS, "share.at", (F.col("share.begin") + F.col("rank") - F.col("share.low")).alias("of"))
         spare = free.where("rank >= 0").select(F.col("part").alias("at"), F.col("rank").alias("of"), "sequence_id", "gap")
         met = scratch.table(spare.join(ranked, ["at", "of"], "left"))
         found = met.where("uid is not null")
@@ -338,6 +355,6 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, most: int = 40
             done, gaps, todo, n, left, ranges = _round(spark, scratch, todo, able, parts, most, (1 << 14 | step) if opening else None)
             placed.append(done)
             opened += n if opening else 0
-            opening = n == 0 or ranges == 1  # a single range has tried every gap
+            opening = 100 * n < n + left or ranges == 1  # a single range has tried every gap
         gaps = reduce(DataFrame.union, [*aside, gaps])
     return reduce(DataFrame.union, placed).drop("uid")
