@@ -286,6 +286,23 @@ def settle(pending: dict[int, int], spare: dict[int, int]) -> list[tuple[int, in
 
 
 _PIECE_COLUMNS = list(_PIECE_KINDS)
+_ASKED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, uid long, at long, of long"
+
+
+def _asking(shares):
+    """Adds to pending documents the range and rank of the gap that serves them (null: none)."""
+
+    def run(batches):
+        part, low, high, at, begin = shares.value.T  # sorted by range and rank
+        keys = (part << 40) + low
+        for batch in batches:
+            own, rank = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "rank"))
+            k = np.maximum(np.searchsorted(keys, (own << 40) + rank, "right") - 1, 0)
+            none = (part[k] != own) | (rank >= high[k]) | (rank < low[k])
+            found = [pa.array(at[k], pa.int64(), mask=none), pa.array(begin[k] + rank - low[k], pa.int64(), mask=none)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PIECE_COLUMNS), *found], names=[*_PIECE_COLUMNS, "at", "of"])
+
+    return run
 
 
 def _round(spark, scratch: Scratch, todo: DataFrame, gaps: DataFrame, parts: int, most: int, opening: int | None) -> tuple[DataFrame, DataFrame, DataFrame, int, int, int]:
@@ -308,16 +325,10 @@ def _round(spark, scratch: Scratch, todo: DataFrame, gaps: DataFrame, parts: int
     shares = [] if opening is not None else settle({p: n for (what, p), (n, _) in count.items() if what == PENDING}, {p: able for (what, p), (_, able) in count.items() if what == GAP})
     if shares:
         served = sum(r[2] - r[1] for r in shares)
-        by_range = {}
-        for part, *share in shares:
-            by_range.setdefault(part, []).append(tuple(share))
-        kinds = "part int, shares array<struct<low: long, high: long, at: int, begin: long>>"
-        dealt = F.broadcast(spark.createDataFrame(sorted(by_range.items()), kinds))  # two shares per range at most
-        mine = F.get(F.filter("shares", lambda s: (F.col("rank") >= s["low"]) & (F.col("rank") < s["high"])), F.lit(0))
-        asked = pending.join(dealt, "part", "left").withColumn("share", mine)
-        waiting = asked.where("share is null")
-        ranked = asked.where("share is not null").select(*_PIECE_COLUMNS, "share.at", (F.col("share.begin") + F.col("rank") - F.col("share.low")).alias("of"))
-        spare = free.where("rank >= 0").select(F.col("part").alias("at"), F.col("rank").alias("of"), "sequence_id", "gap")
+        told = spark.sparkContext.broadcast(np.array(shares, np.int64))  # two rows per range at most
+        asked = scratch.table(pending.select("part", "rank", *_PIECE_COLUMNS).mapInArrow(_asking(told), _ASKED_SQL))
+        waiting, ranked = asked.where("at is null"), asked.where("at is not null")
+        spare = free.where("rank >= 0").select(F.col("part").cast("long").alias("at"), F.col("rank").alias("of"), "sequence_id", "gap")
         met = scratch.table(spare.join(ranked, ["at", "of"], "left"))
         found = met.where("uid is not null")
         placed = placed.select(*_PIECE_COLUMNS, "sequence_id", "offset").union(found.select(*_PIECE_COLUMNS, "sequence_id", (most - F.col("gap")).alias("offset")))
