@@ -4,19 +4,18 @@ The base kinds (email, ip, card, phone) are found by pattern over the whole text
 model, a bidirectional LSTM over characters with CRF transitions between tags, is trained
 in numpy on the driver from labelled spans: base spans in their contexts from a bounded
 sample of documents, generated spans set into sampled contexts (written-out addresses,
-numbers without prefix, credentials), and numbers that are no personal data.  Texts are
-cut in overlapping windows, decoded in batches, and the windows' tags are reconciled over
-the whole text: of two windows the one whose middle is nearer decides a character.
+numbers without prefix, credentials), and prose and numbers that are no personal data.
+Texts are cut whole in overlapping windows, every window is scored, and the windows' tags
+are reconciled over the whole text: of two windows the one whose middle is nearer decides a
+character.  A window's best path is found by Viterbi, unless its scores prove that the best
+path is outside everywhere: no tag gains enough over 'outside', whatever the transitions.
 
-Every span of the five kinds holds a digit, an '@' or a bracketed 'at', so only windows
-around such characters can hold one, and only these are decoded; a text of digits is
-decoded whole.
-
-Scale: a map over all documents without any exchange; only training windows of at most
-``sample`` documents reach the driver.
+Scale: a map over all documents without any exchange; only snippets of at most ``sample``
+documents, ``spans`` of each, reach the driver.  A worker holds BLOCK windows at a time.
 
 Defined results: null text counts as empty; an empty text has no span and the digest of
-the empty string; repeated rows are treated one by one; extra columns are ignored.
+the empty string; repeated rows are treated one by one; a null doc_id stays null; extra
+columns are ignored, whatever their names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -37,8 +36,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[({]\s?at\s?[\])}]", re.I)
-WINDOW, STRIDE = 96, 32
+#: Characters of a training window; of a decoded one, and from one of these to the next.
+TRAINED, WINDOW, STRIDE = 96, 256, 192
+#: Windows decoded together.
+BLOCK = 512
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -72,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the four base kinds, sorted by start, then kind."""
     out = _emails(text) if "@" in text else []
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+        if all(len(n) <= 3 and int(n or 0) <= 255 for n in (p.lstrip("0") for p in m.groups())):
             out.append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0])
@@ -114,7 +115,7 @@ def _sigmoid(x):
 class Tagger:
     """Bidirectional LSTM over characters with a linear-chain CRF on top."""
 
-    def __init__(self, hidden: int = 20, embed: int = 12, seed: int = 11):
+    def __init__(self, hidden: int = 12, embed: int = 10, seed: int = 11):
         r = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"E": r.normal(0, 0.3, (ALPHABET, embed)), "O": r.normal(0, 0.2, (2 * hidden, TAGS)), "c": np.zeros(TAGS), "T": r.normal(0, 0.1, (TAGS, TAGS)), "s": np.zeros(TAGS)}
@@ -165,19 +166,78 @@ class Tagger:
         both = np.concatenate([fwd, bwd[::-1]], axis=2)
         return both @ self.p["O"] + self.p["c"], both, tf, tb
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
+    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
+        """Hidden states (steps, h, n) of one direction of codes (steps, n), without a trace."""
+        p, h = self.p, self.h
+        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)  # sigmoid(z) = (1 + tanh(z / 2)) / 2
+        table = np.ascontiguousarray(((p["E"] @ p[f"W{d}"] + p[f"B{d}"]) * half).T.astype(np.float32))
+        inner = np.ascontiguousarray((p[f"U{d}"] * half).T.astype(np.float32))
+        out = np.empty((len(x), h, x.shape[1]), np.float32)
+        state, cell = np.zeros(out.shape[1:], np.float32), np.zeros(out.shape[1:], np.float32)
+        z, drive, new = np.empty((4 * h, x.shape[1]), np.float32), np.empty((4 * h, x.shape[1]), np.float32), np.empty_like(cell)
+        gate = z[: 3 * h]
+        for t in range(len(x)):
+            np.dot(inner, state, out=z)
+            np.take(table, x[t], axis=1, out=drive, mode="clip")
+            z += drive
+            np.tanh(z, out=z)
+            gate *= 0.5
+            gate += 0.5
+            cell *= gate[h : 2 * h]
+            np.multiply(gate[:h], z[3 * h :], out=new)
+            cell += new
+            state = out[t]
+            np.tanh(cell, out=state)
+            state *= gate[2 * h :]
+        return out
+
+    def emissions(self, x: np.ndarray) -> np.ndarray:
+        """(n, steps) codes -> emission scores (steps, tags, n), as ``scores``."""
+        fwd, bwd = self._states(x.T, "f"), self._states(x.T[::-1], "b")[::-1]
+        out = np.ascontiguousarray(self.p["O"].T.astype(np.float32))
+        return out[:, : self.h] @ fwd + out[:, self.h :] @ bwd + self.p["c"].astype(np.float32)[:, None]
+
+    def undecided(self, emit: np.ndarray) -> np.ndarray:
+        """Windows (of ``emissions``) whose best path might leave the tag 'outside'.
+
+        A stretch of other tags gains at most the sum of its leads over 'outside', a move
+        inside for each but one, a move in and a move out.  So the greatest sum of any
+        stretch of (lead + move inside) tells whether one could win.
+        """
+        move, start = self.p["T"] - self.p["T"][0, 0], self.p["s"] - self.p["s"][0]
+        inside = float(move[1:, 1:].max())
+        around = max(float(move[0, 1:].max()), float(start[1:].max())) + max(float(move[1:, 0].max()), 0.0)
+        lead = emit[:, 1:].max(axis=1) - emit[:, 0] + inside
+        run = np.zeros(lead.shape[1], np.float32)
+        best = np.full_like(run, -np.inf)
+        for now in lead:
+            np.maximum(run, 0, out=run)
+            run += now
+            np.maximum(best, run, out=best)
+        return best + around - inside >= -1e-3
+
+    def decode(self, x: np.ndarray, prove: bool = True) -> np.ndarray:
         """Best tags (n, steps) of windows of codes, by Viterbi."""
-        emit = self.scores(x)[0]
-        steps, n, k = emit.shape
-        best, back = emit[0] + self.p["s"], np.empty((steps, n, k), np.int8)
+        emit = self.emissions(x)
+        out = np.zeros(x.shape, np.int8)
+        some = np.flatnonzero(self.undecided(emit)) if prove else np.arange(len(x))
+        if len(some):
+            out[some] = self.viterbi(emit[:, :, some])
+        return out
+
+    def viterbi(self, emit: np.ndarray) -> np.ndarray:
+        """Best tags (n, steps) of emission scores (steps, tags, n)."""
+        steps, k, n = emit.shape
+        best, back = emit[0] + self.p["s"][:, None], np.empty((steps, k, n), np.int8)
+        move = self.p["T"][:, :, None]
         for t in range(1, steps):
-            moves = best[:, :, None] + self.p["T"][None]
-            back[t] = moves.argmax(axis=1)
-            best = moves.max(axis=1) + emit[t]
+            moves = best[:, None, :] + move
+            back[t] = moves.argmax(axis=0)
+            best = moves.max(axis=0) + emit[t]
         out = np.empty((steps, n), np.int8)
-        out[-1] = best.argmax(axis=1)
+        out[-1] = best.argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            out[t - 1] = back[t, np.arange(n), out[t]]
+            out[t - 1] = back[t, out[t], np.arange(n)]
         return out.T
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
@@ -255,7 +315,8 @@ def _made(r: np.random.Generator) -> tuple[int, str]:
     if what == 5:
         return 3, (f"({pick(d9, 3)}) {pick(d9, 3)}-{pick(d9, 4)}", f"{pick(d9, 3)}-{pick(d9, 3)}-{pick(d9, 4)}", f"{pick(d9, 3)}.{pick(d9, 3)}.{pick(d9, 4)}")[r.integers(0, 3)]
     if what == 6:
-        return 4, f"{('password', 'passwd', 'secret', 'api_key')[r.integers(0, 4)]}{('=', ': ', ' = ')[r.integers(0, 3)]}{pick(hexa, int(r.integers(12, 33)))}"
+        chars = (hexa, az, az + up, az + up + d9, az + d9 + "-_!#$%")[r.integers(0, 5)]
+        return 4, f"{('password', 'passwd', 'secret', 'api_key')[r.integers(0, 4)]}{('=', ': ', ' = ')[r.integers(0, 3)]}{pick(chars, int(r.integers(12, 33)))}"
     if what == 7:
         return 4, f'{("token", "key", "secret")[r.integers(0, 3)]} = "{pick(hexa, 40)}"'
     if what == 8:
@@ -263,37 +324,49 @@ def _made(r: np.random.Generator) -> tuple[int, str]:
     return -1, (pick(d9, int(r.integers(1, 9))), f"{pick(d9, 1)}.{pick(d9, int(r.integers(1, 3)))}", f"version {pick(d9, 1)}.{pick(d9, 1)}", f"{r.integers(1900, 2031)}-{r.integers(1, 13):02d}-{r.integers(1, 29):02d}", f"{r.integers(1, 24)}:{r.integers(10, 60)}", f"${pick(d9, 3)},{pick(d9, 3)}.{pick(d9, 2)}", f"{pick(d9, 2)}%", f"#{pick(d9, int(r.integers(3, 12)))}", f"@{name}")[r.integers(0, 9)]
 
 
+SNIPPET = 3 * TRAINED
+
+
+def snippets(text: str, spans: int) -> list[str]:
+    """Contexts of at most ``spans`` base spans, spread over the text, and one of any place."""
+    base = base_spans(text)
+    at = [base[k * len(base) // spans][1] for k in range(spans)] if len(base) > spans else [s for _, s, _ in base]
+    at.append(int.from_bytes(hashlib.sha256(text[:SNIPPET].encode("utf-8", "surrogatepass")).digest()[:6], "little") % max(1, len(text)))
+    return [text[max(0, a - SNIPPET // 2) : a + SNIPPET // 2] for a in at]
+
+
 def training_windows(texts: list[str], made: int = 2000, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of codes and tags: found base spans, generated spans and plain numbers."""
+    """Windows of codes and tags: found base spans, generated spans, plain numbers and prose."""
     r = np.random.default_rng(seed)
     xs, ys = [], []
 
     def add(text, spans, at):
-        x, y = np.zeros(WINDOW, np.int64), np.zeros(WINDOW, np.int64)
-        c, t = codes(text)[at : at + WINDOW], tags_of(len(text), spans)[at : at + WINDOW]
+        x, y = np.zeros(TRAINED, np.int64), np.zeros(TRAINED, np.int64)
+        c, t = codes(text)[at : at + TRAINED], tags_of(len(text), spans)[at : at + TRAINED]
         x[: len(c)], y[: len(t)] = c, t
         xs.append(x)
         ys.append(y)
 
     for text in texts:
-        for kind, start, end in base_spans(text)[:4]:
-            low, high = max(0, end - WINDOW), max(0, start)
-            at = int(r.integers(min(low, high), high + 1))
-            piece = text[max(0, at - 8) : at + WINDOW + 8]
-            if not (re.search(r"(?i)password|token|AKIA", piece)):
-                shift = at - max(0, at - 8)
-                add(piece, [(k, max(0, s - at + shift), min(len(piece), e - at + shift)) for k, s, e in base_spans(text) if e > at - shift and s < at - shift + len(piece)], shift)
-    able = [t for t in texts if len(t) > 2 * WINDOW] or ["plain words and nothing else in a text that goes on for a while. " * 4]
+        base = base_spans(text)
+        if base and not re.search(r"(?i)password|token|AKIA", text):
+            _, start, end = base[len(base) // 2]
+            low, high = max(0, end - TRAINED), max(0, start)
+            add(text, base, int(r.integers(min(low, high), high + 1)))
+        elif not base and not re.search("[0-9]", text):
+            for at in range(0, max(1, len(text) - TRAINED), TRAINED):
+                add(text, [], at)
+    able = [t for t in texts if len(t) > 2 * TRAINED] or ["plain words and nothing else in a text that goes on for a while. " * 4]
     for _ in range(made):
         text = able[r.integers(0, len(able))]
-        at = int(r.integers(0, len(text) - WINDOW))
-        before, after = re.sub(r"[0-9@+=]", "", text[max(0, at - WINDOW) : at]), re.sub(r"[0-9@+=]", "", text[at : at + WINDOW])
+        at = int(r.integers(0, len(text) - TRAINED))
+        before, after = re.sub(r"[0-9@+=]", "", text[max(0, at - TRAINED) : at]), re.sub(r"[0-9@+=]", "", text[at : at + TRAINED])
         kind, inner = _made(r)
         before = before if before.endswith((" ", "\n")) or not before else f"{before} "
         tail = (" ", ", ", ". ", "\n")[r.integers(0, 4)] + after.lstrip()
         whole = before + inner + tail
         spans = [(kind, len(before), len(before) + len(inner))] if kind >= 0 else []
-        start = int(r.integers(max(0, len(before) + min(len(inner), 80) - WINDOW), len(before) + 1)) if r.random() < 0.8 else int(r.integers(0, max(1, len(whole) - WINDOW)))
+        start = int(r.integers(max(0, len(before) + min(len(inner), 80) - TRAINED), len(before) + 1)) if r.random() < 0.8 else int(r.integers(0, max(1, len(whole) - TRAINED)))
         add(whole, spans, start)
     return np.array(xs), np.array(ys)
 
@@ -301,46 +374,37 @@ def training_windows(texts: list[str], made: int = 2000, seed: int = 4) -> tuple
 # ---- whole texts
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold an anchor, with a neighbour on either side."""
-    out: set[int] = set()
-    for m in _ANCHOR.finditer(text):
-        k = m.start() // STRIDE
-        out.update((k - 2, k - 1, k, k + 1) if k > 1 else (0, 1, 2))
-    return [k * STRIDE for k in sorted(out) if 0 <= k * STRIDE < max(1, len(text))]
+def windows(text: str) -> np.ndarray:
+    """The codes of all windows (number, WINDOW) of a text; the last is padded."""
+    code = codes(text).astype(np.uint8)
+    number = max(1, -(-(len(code) - (WINDOW - STRIDE)) // STRIDE))
+    full = np.zeros((number - 1) * STRIDE + WINDOW, np.uint8)
+    full[: len(code)] = code
+    return np.lib.stride_tricks.sliding_window_view(full, WINDOW)[::STRIDE]
 
 
-def reconciled(length: int, starts: list[int], tags: np.ndarray) -> list[Span]:
-    """Spans of a text from its windows' tags: the window with the nearer middle decides."""
-    if not starts:
-        return []
+def reconciled(length: int, tags: dict[int, np.ndarray]) -> list[Span]:
+    """Spans of a text from the tags of its windows by number; windows left out are outside.
+
+    Where two windows overlap, each decides the half that is nearer to its middle.
+    """
     out: list[Span] = []
-    pos, tag, near = [], [], []
-    for s, t in zip(starts, tags, strict=True):
-        n = min(WINDOW, length - s)
-        pos.append(np.arange(s, s + n))
-        tag.append(t[:n])
-        near.append(np.abs(np.arange(n) - WINDOW / 2 + 0.5))
-    pos, tag, near = np.concatenate(pos), np.concatenate(tag), np.concatenate(near)
-    order = np.lexsort((near, pos))
-    pos, tag = pos[order], tag[order]
-    first = np.append(True, pos[1:] != pos[:-1])
-    pos, tag = pos[first], tag[first]
-    kind = np.where(tag > 0, (tag.astype(int) - 1) // 2, -1)
-    at = np.flatnonzero(kind >= 0)
-    start = None
-    for i in at:
-        if start is not None and pos[i] == out[-1][2] and kind[i] == out[-1][0] and not (tag[i] % 2 == 1):
-            out[-1] = (out[-1][0], out[-1][1], int(pos[i]) + 1)
-        else:
-            out.append((int(kind[i]), int(pos[i]), int(pos[i]) + 1))
-            start = i
+    half, last = (WINDOW - STRIDE) // 2, max(0, -(-(length - (WINDOW - STRIDE)) // STRIDE) - 1)
+    for k in sorted(tags):
+        low, high = half if k else 0, WINDOW if k == last else STRIDE + half
+        own = tags[k][low : min(high, length - k * STRIDE)]
+        for i in np.flatnonzero(own):
+            kind, at = (int(own[i]) - 1) // 2, k * STRIDE + low + int(i)
+            if out and out[-1][2] == at and out[-1][0] == kind and own[i] % 2 == 0:
+                out[-1] = (kind, out[-1][1], at + 1)
+            else:
+                out.append((kind, at, at + 1))
     return out
 
 
 _DIGITS = re.compile(r"[0-9]")
-#: Least characters of an added span, and least digits, by kind.
-_LEAST = {0: (7, 0), 1: (7, 4), 2: (12, 12), 3: (9, 7), 4: (12, 4)}
+#: Least characters of an added span, and least digits of those that are numbers, by kind.
+_LEAST = {0: (7, 0), 1: (7, 4), 2: (12, 12), 3: (9, 7), 4: (8, 0)}
 
 
 _INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -378,14 +442,26 @@ def added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     return out
 
 
-def fit_tagger(docs: DataFrame, sample: int = 300) -> Tagger:
-    """Trained on windows of at most ``sample`` documents that hold a digit, of least hash."""
+def fit_tagger(docs: DataFrame, sample: int = 300, spans: int = 4) -> Tagger:
+    """Trained on snippets of at most ``sample`` documents that hold a digit or '@', and as many others.
+
+    They are those of least hash; of each ``spans`` base spans and one other place are taken.
+    """
     tune(docs.sparkSession)
+
+    def cut(batches):
+        for batch in batches:
+            found = [snippets(t, spans) for t in texts_of(batch)]
+            ids = [k for k, f in zip(batch.column("doc_id").to_pylist(), found, strict=True) for _ in f]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for f in found for x in f], pa.string())], names=["doc_id", "snippet"])
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    able = texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("doc_id")
-    chosen = able.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("text").where(F.length("text") < 20_000).limit(sample).collect()
-    x, y = training_windows([r[0] for r in got])
+    ids = texts.select("doc_id", F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)).alias("able"), F.xxhash64("doc_id").alias("h"))
+    chosen = [ids.where(F.col("able") == able).orderBy("h", "doc_id").limit(sample) for able in (True, False)]
+    chosen = chosen[0].union(chosen[1]).select("doc_id").distinct()
+    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(cut, "doc_id long, snippet string")
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "snippet").limit(2 * sample * (spans + 1)).collect()
+    x, y = training_windows([r["snippet"] for r in got])
     return Tagger().fit(x, y)
 
 
@@ -393,6 +469,25 @@ def _said(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
+def _blocks(texts: list[str]):
+    """The windows of all texts, at most BLOCK at a time, with (text, window) of each."""
+    held, owner, size = [], [], 0
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        own = windows(text)
+        for at in range(0, len(own), BLOCK):
+            part = own[at : at + BLOCK]
+            if size + len(part) > BLOCK:
+                yield np.concatenate(held), owner
+                held, owner, size = [], [], 0
+            held.append(part)
+            owner.extend((i, at + k) for k in range(len(part)))
+            size += len(part)
+    if held:
+        yield np.concatenate(held), owner
+
+
 def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each document.
 
@@ -407,32 +502,16 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
         tagger.p = model.value
         for batch in batches:
             texts = texts_of(batch)
-            starts = [window_starts(t) for t in texts]
-            tags: list[list[np.ndarray]] = [[] for _ in texts]
-            held, owner = [], []
-
-            def decode():
-                for i, t in zip(owner, tagger.decode(np.array(held)), strict=True):
-                    tags[i].append(t)
-                held.clear()
-                owner.clear()
-
-            for i, (text, at) in enumerate(zip(texts, starts, strict=True)):
-                c = codes(text) if at else None
-                for s in at:
-                    x = np.zeros(WINDOW, np.int64)
-                    piece = c[s : s + WINDOW]
-                    x[: len(piece)] = piece
-                    held.append(x)
-                    owner.append(i)
-                    if len(held) == 2048:
-                        decode()
-            if held:
-                decode()
+            tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+            for held, owner in _blocks(texts):
+                found = tagger.decode(held)
+                for j in np.flatnonzero(found.any(axis=1)):
+                    i, k = owner[j]
+                    tags[i][k] = found[j]
             out = []
-            for doc_id, text, at, t in zip(batch.column("doc_id").to_pylist(), texts, starts, tags, strict=True):
+            for doc_id, text, t in zip(batch.column("doc_id").to_pylist(), texts, tags, strict=True):
                 base = base_spans(text)
-                more = added(text, base, reconciled(len(text), at, np.array(t))) if at else []
+                more = added(text, base, reconciled(len(text), t)) if t else []
                 count = [sum(k == j for k, _, _ in base) for j in range(4)]
                 digest = hashlib.sha256(_said(base).encode()).hexdigest()
                 out.append((doc_id, *count, digest, _said(sorted(base + more, key=lambda s: (s[1], s[0]))), len(more)))
