@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -46,7 +47,9 @@ class Scratch:
         self.spark = spark
         folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not folder:
-            folder = "/tmp/checkpoints"
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="colonnade-")  # one machine: nothing else to share with
             spark.sparkContext.setCheckpointDir(folder)
         self.root = f"{folder.rstrip('/')}/colonnade-{uuid.uuid4().hex}"
         self.count = 0
@@ -67,6 +70,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def row_of(df: DataFrame):
+    """All columns of ``df`` as one struct column ``_row``, so that none can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("_row")
+
+
+def unpacked(columns: list[str], **made) -> list:
+    """The fields ``columns`` of ``_row`` as columns again, those in ``made`` replaced."""
+    return [made[c].alias(c) if c in made else F.col("_row").getField(c).alias(c) for c in columns]
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch, null as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -10,8 +10,10 @@ driver; only their features are collected.  Scoring is a map over all documents
 any exchange.
 
 Defined results: null and empty texts get the score of the empty feature set; unlabelled,
-null or repeated labels are allowed (repeats count once per row); repeated documents are
-scored one by one; extra columns are ignored; without usable labels every score is 0.5.
+null or repeated labels are allowed (repeats count once per row, within the sample);
+repeated documents are scored one by one; a null doc_id is scored and not held out; extra
+columns are ignored, whatever their names; an empty table gives no row; without usable
+labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -123,46 +125,52 @@ def _labelled(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["label", "ids", "stats"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, fold: int, outside: bool, sample: int) -> DataFrame:
-    """(label, text) of at most ``sample`` labelled rows, those of least hash of doc_id.
+def may_learn(modulus: int, fold: int, doc_id=None):
+    """Whether a row is outside of the held-out fold: crc32 of doc_id as text, mod ``modulus``, isn't ``fold``."""
+    doc_id = F.col("doc_id") if doc_id is None else doc_id
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(modulus)) != fold
 
-    Only rows with (crc32 of doc_id as text) mod ``modulus`` = ``fold`` are taken, or with
-    ``outside`` all but these.
-    """
-    fits = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == fold
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (~fits if outside else fits))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+
+def least_rows(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, those of least hash of doc_id."""
+    rest = [F.xxhash64(c) for c in rows.columns if c != "doc_id"]
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", *rest).limit(most)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, fold: int, sample: int) -> DataFrame:
+    """(doc_id, text, label) of at most ``sample`` labelled rows outside of the held-out fold."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(may_learn(modulus, fold) & F.col("label").isin(0, 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most ``sample`` rows of two numbers
+    found = texts.join(F.broadcast(least_rows(usable, sample)), "doc_id")  # at most ``sample`` rows of two numbers
+    return least_rows(found, sample)  # a repeated doc_id must not exceed the sample
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Machine:
     """Fitted on labelled rows whose crc32 of the doc_id's text mod 5 isn't 0."""
     tune(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", 5, 0, True, sample).select("label", "text").mapInArrow(_labelled, "label int, ids binary, stats binary").collect()
+    rows = labelled_sample(docs, labels, "quality", 5, 0, sample).select("label", "text").mapInArrow(_labelled, "label int, ids binary, stats binary").collect()
     rows = sorted((r["label"], bytes(r["stats"]), bytes(r["ids"])) for r in rows)
     return Machine().fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(s), y) for y, s, i in rows])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score, predicted of each document, and the columns in ``keep``."""
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 3000, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of each document; with ``keep`` its row too, as the struct ``_row``."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fit_quality(docs, labels, sample))
-    more = [c for c in keep or [] if c not in ("doc_id", "text")]
+    wanted = docs.columns if keep else ["doc_id", "text"]
+    at = wanted.index("text")
+    # columns travel by number, so their names meet nothing; the text travels once
+    rows = docs.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") if c == "text" else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(wanted)])
 
     def run(batches):
         table, machine = WordTable(_kind), model.value
         for batch in batches:
-            score = pa.array([machine.score(*features(t, table)) for t in texts_of(batch)], pa.float64())
-            cols = [batch.column(c) for c in batch.schema.names if keep or c != "text"]
-            yield pa.RecordBatch.from_arrays([*cols, score], names=[*(c for c in batch.schema.names if keep or c != "text"), "_score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if keep or f.name != "text")
-    out = rows.mapInArrow(run, f"{fields}, _score double")
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    got = [held.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")]
-    if keep:
-        return out.select(*[F.col(c) for c in keep], *[g for g in got])
-    return out.select("doc_id", *got)
+            score = pa.array([machine.score(*features(t, table)) for t in texts_of(batch, f"c{at}")], pa.float64())
+            stay = [f"c{i}" for i in range(len(wanted)) if keep or i != at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in stay), score], names=[*stay, "score"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema) if keep or i != at)
+    out = rows.mapInArrow(run, f"{fields}, score double")
+    doc_id = F.col(f"c{wanted.index('doc_id')}").cast("long")
+    held = F.coalesce(~may_learn(5, 0, doc_id), F.lit(False)).alias("held_out")
+    return out.select(doc_id.alias("doc_id"), held, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *([F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(wanted)]).alias("_row")] if keep else []))

@@ -260,6 +260,20 @@ def test_line_dedup_edges(spark, odd):
     got = line_dedup.dedup_lines(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, c int")).orderBy("doc_id").collect()
     assert [r.text for r in got] == ["p\na\n\nb\nc\nd\nq", "x", "a\nb", None, "", ""]
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(odd.limit(0)).count() == 0
+    clash = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, _id int, _lines int, n_lines int, _row int")
+    out = line_dedup.dedup_lines(clash)
+    assert out.columns == ["doc_id", "text", "_id", "_lines", "_row", "n_lines", "n_removed"]
+    assert [r.text for r in out.orderBy("doc_id").collect()] == [r.text for r in got]
+    # rows of one doc_id lose lines of their own text only
+    two = spark.createDataFrame([(1, "a\nb\nc\nd"), (9, "a\nb\nc\nz"), (9, "k\nl\nm\nn"), (None, "x\nk\nl\nm")], "doc_id long, text string")
+    assert sorted((r.text, r.n_removed) for r in line_dedup.dedup_lines(two).collect()) == [("a\nb\nc\nd", 0), ("k\nl\nm\nn", 0), ("x", 3), ("z", 3)]
+
+
+def test_line_dedup_of_common_windows(spark, docs, monkeypatch):
+    want = Counter(map(tuple, line_dedup.dedup_lines(docs, 50).select("doc_id", "text", "n_removed").collect()))
+    for hot in (1, 2):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert Counter(map(tuple, line_dedup.dedup_lines(docs, 50).select("doc_id", "text", "n_removed").collect())) == want
 
 
 def test_line_dedup_long_passages(spark, docs):
@@ -281,7 +295,9 @@ def test_mixing_sql(spark, docs):
 
 
 def test_mixing_edges(spark, odd):
-    got = mixing.mix_sources(odd, keep=odd.columns).collect()
+    clash = odd.selectExpr("*", "1 as target", "2 as few", "'x' as _row", "3 as size")
+    assert mixing.mix_sources(clash, keep=True).count() == odd.count()
+    got = mixing.mix_sources(odd, keep=True).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 3 * r.size for r in got)
     total = sum(r.size for r in got)
     by = {r._row['source']: (r.source_size, r.target) for r in got}
@@ -291,11 +307,33 @@ def test_mixing_edges(spark, odd):
     assert all(r.taken == 0 for r in mixing.mix_sources(odd.where("text is null")).collect())
 
 
+def test_mixing_sql_with_small_and_odd_sources(spark, tmp_path):
+    sizes = [("a", 900, 90), ("b", 3, 11), ("c", 6, 40), (None, 30, 7), ("one", 1, 1), ("d", 500, 120), ("none", 4, 0)]
+    rows = [(n * 10_000 + k, s, " ".join(["w"] * words)) for n, (s, number, words) in enumerate(sizes) for k in range(number)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/d")
+    duckdb.sql(f"create or replace view documents as from '{tmp_path}/d/*.parquet'")
+    got = mixing.mix_sources(spark.read.parquet(f"{tmp_path}/d")).collect()
+    assert Counter(map(tuple, got)) == Counter(duckdb.sql(mixing.ORACLE).fetchall())
+    one = next(r for r in got if r.doc_id == 40_000)
+    assert (one.size, one.target, one.taken) == (1, 3.0, 3)
+
+
+def test_apportionment_ranks_all_that_matters(spark):
+    r = np.random.default_rng(12)
+    for seats, keys in ((7, 3), (1000, 40), (50, 200), (100_000, 6), (1, 5)):
+        votes = [int(v) for v in r.integers(0, 50, keys) ** int(r.integers(1, 4))]
+        quotients = sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(votes) if v for k in range(min(seats, 2 + 2 * v * seats // sum(votes))))
+        want = Counter(i for _, i, _ in quotients[:seats])
+        df = spark.createDataFrame([(i, v, seats) for i, v in enumerate(votes)], "i long, v long, s long")
+        got = {x.i: x.won for x in mixing.apportion(df, ["i"], [], "s", "v", ["i"]).collect() if x.won}
+        assert got == want and (not want or sum(got.values()) == seats)
+
+
 def test_mixing_small_sources(spark):
     def mixed(groups, blocks):
         rows = [(n * 1000 + k, s, " ".join(["w"] * words)) for n, (s, number, words) in enumerate(groups) for k in range(number)]
         by = {}
-        for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), blocks=blocks, keep=["source"]).collect():
+        for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), blocks=blocks, keep=True).collect():
             size, target, taken, docs = by.get(r._row.source, (0, 0, 0, 0))
             by[r._row.source] = (size + r.size, r.target, taken + r.taken, docs + 1)
             assert 0 <= r.taken <= 3 * r.size
@@ -320,9 +358,11 @@ def test_quality(spark, docs, labels, odd):
     assert len(got) == docs.count()
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3)
-    assert np.mean([r.predicted == truth[r.doc_id] for r in got if r.doc_id in truth]) > 0.9
-    kept = quality.score_quality(odd, labels, keep=odd.columns)
-    assert kept.columns[: len(odd.columns)] == odd.columns and kept.count() == odd.count()
+    kept = quality.score_quality(odd.selectExpr("*", "1 as score", "2 as held_out", "3 as c0", "'x' as _row"), labels, keep=True)
+    assert kept.select("_row.*").columns == [*odd.columns, "score", "held_out", "c0", "_row"] and kept.count() == odd.count()
+    assert quality.score_quality(odd.limit(0), labels).collect() == []
+    many = labels.union(labels).union(labels)  # repeated labels and documents stay within the sample
+    assert quality.labelled_sample(docs.union(docs), many, "quality", 5, 0, 30).count() == 30
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
     m = quality.Machine()
     m.fitted = True
@@ -331,12 +371,41 @@ def test_quality(spark, docs, labels, odd):
     assert m.raw(ids, x)[0] == pytest.approx(pairs, rel=1e-9)
 
 
+@pytest.fixture(scope="module")
+def larger(spark):
+    return [spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels")]
+
+
+def test_quality_held_out(larger):
+    docs, labels = larger
+    got = quality.score_quality(docs, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    assert len(got) > 600 and np.mean([r.predicted == r.quality for r in got]) > 0.98
+
+
+def test_toxicity_held_out(larger):
+    docs, labels = larger
+    got = toxicity.score_toxicity(docs, labels).where("held_out").join(labels.select("doc_id", "toxic"), "doc_id").collect()
+    toxic = [r.predicted for r in got if r.toxic == 1]
+    assert len(toxic) > 100 and np.mean(toxic) > 0.75 and np.mean([r.predicted for r in got if r.toxic == 0]) < 0.01
+
+
+def test_label_model_sees_no_label():
+    r = np.random.default_rng(1)
+    rows = [np.unique(r.integers(100, 160, 12)) if k % 8 else np.append(r.choice(20, 6, replace=False), 100 + k % 60) for k in range(600)]
+    y = np.array([k % 8 == 0 for k in range(300)], int)
+    s = toxicity.Scorer().fit(rows[:300], y, rows[300:], np.zeros((300, toxicity.PATTERNS), int))
+    assert set(s.terms) <= set(range(20)) and abs(s.model.prior - 1 / 8) < 0.02
+    flipped = toxicity.Scorer().fit(rows[:300], y, rows[300:], np.zeros((300, toxicity.PATTERNS), int))
+    assert (s.w == flipped.w).all() and s.model.on[2:].min() > 5 * s.model.off[2:].max()
+
+
 def test_toxicity(spark, docs, labels, odd):
     got = toxicity.score_toxicity(docs, labels).collect()
     assert len(got) == docs.count()
     for r in got:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
     assert toxicity.score_toxicity(odd, labels).count() == odd.count()
+    assert toxicity.score_toxicity(odd.limit(0), labels).collect() == []
     assert all(r.score < 1e-6 for r in toxicity.score_toxicity(odd, labels.limit(0)).collect())
 
 
@@ -557,10 +626,36 @@ def test_pipeline(spark, docs, odd, tmp_path):
             want = near([tuple(r) for r in frame.select("doc_id", "text").collect()], 5)
             assert {r[0] for r in out.select("doc_id").collect()} == {i for i, (_, c) in want.items() if c == i}
         stay, frame = frame, out
+        if name == "quality":
+            model = {r.doc_id: r.predicted for r in quality.score_quality(docs, spark.read.parquet(f"{DIR}/labels.parquet")).collect()}
+            assert {r.doc_id for r in out.collect()} == {i for i, p in model.items() if p}
+        if name == "mix":
+            taken = {r.doc_id: r.taken for r in mixing.mix_sources(stay).collect() if r.taken}
+            made = Counter()
+            for i, t in out.select("doc_id", "text").collect():
+                made[i] += len(re.findall(WORD, t))
+            assert made == taken
     packed = {r[0] for r in frame.select("doc_id").distinct().collect()}
     assert packed == {r[0] for r in stay.select("doc_id").distinct().collect()}
 
 
+def test_stages_on_odd_rows(spark, odd):
+    import corpus_pipeline
+
+    clash = odd.selectExpr("*", "1 as _row", "2 as score", "3 as n_removed", "4 as number", "5 as hash", "6 as copy", "7 as _n", "cast(length(text) as int) as n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clash.limit(0), DIR).collect() == []
+        out = stage(spark, clash, DIR)
+        if name == "pack":
+            assert out.select("doc_id").distinct().count() == 8
+        else:
+            assert out.columns == clash.columns and out.schema["n_chars"].dataType == clash.schema["n_chars"].dataType
+            rows = out.collect()
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+            kept = {"line_dedup": 10, "near_dedup": 8}.get(name)
+            assert kept is None or len(rows) == kept
+
+
 def test_near_dedup_of_repeated_ids(spark):
     import corpus_pipeline
 
