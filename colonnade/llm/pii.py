@@ -115,7 +115,7 @@ def _sigmoid(x):
 class Tagger:
     """Bidirectional LSTM over characters with a linear-chain CRF on top."""
 
-    def __init__(self, hidden: int = 12, embed: int = 10, seed: int = 11):
+    def __init__(self, hidden: int = 8, embed: int = 8, seed: int = 11):
         r = np.random.default_rng(seed)
         self.h = hidden
         self.p = {"E": r.normal(0, 0.3, (ALPHABET, embed)), "O": r.normal(0, 0.2, (2 * hidden, TAGS)), "c": np.zeros(TAGS), "T": r.normal(0, 0.1, (TAGS, TAGS)), "s": np.zeros(TAGS)}
@@ -193,6 +193,7 @@ class Tagger:
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(n, steps) codes -> emission scores (steps, tags, n), as ``scores``."""
+        x = x.astype(np.intp)
         fwd, bwd = self._states(x.T, "f"), self._states(x.T[::-1], "b")[::-1]
         out = np.ascontiguousarray(self.p["O"].T.astype(np.float32))
         return out[:, : self.h] @ fwd + out[:, self.h :] @ bwd + self.p["c"].astype(np.float32)[:, None]
@@ -270,7 +271,7 @@ class Tagger:
         self._back(x.T[::-1], "b", tb, dboth[::-1, :, self.h :], g)
         return float((z - gold).mean()), {k: v / n for k, v in g.items()}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 7, size: int = 32, rate: float = 0.02, seed: int = 2) -> Tagger:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, size: int = 32, rate: float = 0.02, seed: int = 2) -> Tagger:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(v) for k, v in self.p.items()}
         rng, step, total = np.random.default_rng(seed), 0, epochs * -(-len(x) // size)

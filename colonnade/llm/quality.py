@@ -122,7 +122,7 @@ def _labelled(batches):
     table = WordTable(_kind)
     for batch in batches:
         found = [features(t, table) for t in texts_of(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["label", "ids", "stats"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["doc_id", "label", "ids", "stats"])
 
 
 def may_learn(modulus: int, fold: int, doc_id=None):
@@ -138,17 +138,25 @@ def least_rows(rows: DataFrame, most: int) -> DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, fold: int, sample: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``sample`` labelled rows outside of the held-out fold."""
+    """(doc_id, text, label) of ``sample`` labels outside of the held-out fold, those of least hash.
+
+    Repeated doc_ids give more rows; what is made of them is bounded by ``least_rows``.
+    """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label")).where(may_learn(modulus, fold) & F.col("label").isin(0, 1))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(F.broadcast(least_rows(usable, sample)), "doc_id")  # at most ``sample`` rows of two numbers
-    return least_rows(found, sample)  # a repeated doc_id must not exceed the sample
+    return texts.join(F.broadcast(least_rows(usable, sample)), "doc_id")  # at most ``sample`` rows of two numbers
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, label, ids, stats): features of at most ``sample`` labelled rows."""
+    found = labelled_sample(docs, labels, "quality", 5, 0, sample).select("doc_id", "label", "text")
+    return least_rows(found.mapInArrow(_labelled, "doc_id long, label int, ids binary, stats binary"), sample)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Machine:
     """Fitted on labelled rows whose crc32 of the doc_id's text mod 5 isn't 0."""
     tune(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "quality", 5, 0, sample).select("label", "text").mapInArrow(_labelled, "label int, ids binary, stats binary").collect()
+    rows = labelled_rows(docs, labels, sample).collect()
     rows = sorted((r["label"], bytes(r["stats"]), bytes(r["ids"])) for r in rows)
     return Machine().fit([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(s), y) for y, s, i in rows])
 

@@ -197,7 +197,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Scor
     marked = least_rows(marked.where(share < FOLDS - 1), sample)
     plain = least_rows(texts.where(share == FOLDS - 1).select("doc_id", F.lit(None).cast("int").alias("label")), sample)
     chosen = F.broadcast(marked.union(plain))  # at most two samples of two numbers
-    got = least_rows(texts.join(chosen, "doc_id"), 2 * sample).mapInArrow(_hashed, "doc_id long, label int, terms binary, patterns array<long>").toArrow()
+    hashed = texts.join(chosen, "doc_id").mapInArrow(_hashed, "doc_id long, label int, terms binary, patterns array<long>")
+    got = least_rows(hashed, 2 * sample).toArrow()  # repeated doc_ids must not exceed the samples
     rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["terms"].to_pylist(), got["patterns"].to_pylist(), strict=True), key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
     terms = lambda some: [np.unique(np.frombuffer(r[2], np.int64)) for r in some]
     known, other = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]

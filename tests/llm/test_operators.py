@@ -362,7 +362,7 @@ def test_quality(spark, docs, labels, odd):
     assert kept.select("_row.*").columns == [*odd.columns, "score", "held_out", "c0", "_row"] and kept.count() == odd.count()
     assert quality.score_quality(odd.limit(0), labels).collect() == []
     many = labels.union(labels).union(labels)  # repeated labels and documents stay within the sample
-    assert quality.labelled_sample(docs.union(docs), many, "quality", 5, 0, 30).count() == 30
+    assert quality.labelled_rows(docs.union(docs), many, 30).count() == 30
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
     m = quality.Machine()
     m.fitted = True
