@@ -17,7 +17,8 @@ patterns (also second person near a lexicon term, absence of any) as features.
 
 Fitting uses at most ``sample`` labelled rows for the lexicon and ``sample`` documents for
 the label model, those of least hash in disjoint shares of the rows that may be learned
-from; only hashed terms of these reach the driver.  The lexicon holds at most TERMS terms.
+from.  Terms are counted by an aggregation; the driver gets at most 8 * TERMS candidates
+and which of them stand in the samples' rows.  The lexicon holds at most TERMS terms.
 Scoring is a map over all documents without any exchange.
 
 Defined results: null and empty texts get the score of no term; null labels are left out;
@@ -46,6 +47,8 @@ _BANG = re.compile(r"!{2,}|\?!")
 _SECOND = frozenset("you your youre tu te toi vous votre du dich dir dein sie usted tú ti su".split())
 PATTERNS = 4
 TERMS = 2048
+#: Toxic rows a lexicon term stands in at least, and their least share of its rows.
+LEAST_ROWS, PRECISION = 3, 0.9
 
 
 def _hash(term: str) -> int:
@@ -61,16 +64,34 @@ def patterns(text: str, words: set[str], hits: int) -> tuple[int, ...]:
     return int(bool(_SHOUT.search(text))), int(bool(_BANG.search(text))), int(hits > 0 and not _SECOND.isdisjoint(words)), int(hits == 0)
 
 
-def _hashed(batches):
+def _counted(batches):
+    """(term, toxic rows, other rows) of a batch of labelled texts."""
+    table = WordTable(terms_of, 200_000)
     for batch in batches:
-        out, pattern = [], []
-        table = WordTable(terms_of, 200_000)
-        for text in texts_of(batch):
-            words = set(_WORD.findall(text.lower()))
-            terms = np.fromiter({t for w in words for t in table[w]}, np.int64)
-            out.append(terms.tobytes())
-            pattern.append(list(patterns(text, words, 1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(pattern, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "patterns"])
+        rows = [np.fromiter({t for w in set(_WORD.findall(text.lower())) for t in table[w]}, np.int64) for text in texts_of(batch)]
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), [len(r) for r in rows])
+        term, at = np.unique(flat, return_inverse=True)
+        bad = np.bincount(at, weights=label, minlength=len(term)).astype(np.int64)
+        good = np.bincount(at, minlength=len(term)) - bad
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(bad, pa.int64()), pa.array(good, pa.int64())], names=["term", "bad", "good"])
+
+
+def _hits(candidates):
+    """The candidate terms a text holds, and its patterns."""
+
+    def run(batches):
+        known = candidates.value
+        table = WordTable(lambda w: [t for t in terms_of(w) if t in known], 500_000)
+        for batch in batches:
+            out, pattern = [], []
+            for text in texts_of(batch):
+                words = set(_WORD.findall(text.lower()))
+                out.append(sorted({t for w in words for t in table[w]}))
+                pattern.append(list(patterns(text, words, 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.int64())), pa.array(pattern, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "patterns"])
+
+    return run
 
 
 def mine(rows: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> list[int]:
@@ -83,7 +104,7 @@ def mine(rows: list[np.ndarray], y: np.ndarray, most: int = TERMS) -> list[int]:
     n1, n0 = max(1, y.sum()), max(1, len(y) - y.sum())
     odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((good + 0.5) / (n0 + 1))
     z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    able = np.flatnonzero((bad >= 3) & (bad >= 0.9 * (bad + good)) & (odds > 1.0) & (z > 2.5))
+    able = np.flatnonzero((bad >= LEAST_ROWS) & (bad >= PRECISION * (bad + good)) & (odds > 1.0) & (z > 2.5))
     order = able[np.lexsort((term[able], -z[able]))]
     where = {int(k): set() for k in order}
     for row, k in zip(np.repeat(np.arange(len(rows)), size).tolist(), at.tolist(), strict=True):
@@ -196,11 +217,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 5000) -> Scor
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(may_learn(3, 1) & F.col("label").isin(0, 1))
     marked = least_rows(marked.where(share < FOLDS - 1), sample)
     plain = least_rows(texts.where(share == FOLDS - 1).select("doc_id", F.lit(None).cast("int").alias("label")), sample)
+    # terms are counted where they are; those that cannot be in the lexicon stay there
+    counts = texts.join(F.broadcast(marked), "doc_id").mapInArrow(_counted, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    able = counts.where(f"bad >= {LEAST_ROWS} and bad >= {PRECISION} * (bad + good)").orderBy(F.desc("bad"), "term").limit(8 * TERMS)
+    candidates = docs.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in able.select("term").collect()))
     chosen = F.broadcast(marked.union(plain))  # at most two samples of two numbers
-    hashed = texts.join(chosen, "doc_id").mapInArrow(_hashed, "doc_id long, label int, terms binary, patterns array<long>")
-    got = least_rows(hashed, 2 * sample).toArrow()  # repeated doc_ids must not exceed the samples
-    rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["terms"].to_pylist(), got["patterns"].to_pylist(), strict=True), key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
-    terms = lambda some: [np.unique(np.frombuffer(r[2], np.int64)) for r in some]
+    hits = texts.join(chosen, "doc_id").mapInArrow(_hits(candidates), "doc_id long, label int, terms array<long>, patterns array<long>")
+    got = least_rows(hits, 2 * sample).collect()  # repeated doc_ids must not exceed the samples
+    rows = sorted(map(tuple, got), key=lambda r: (r[0], -1 if r[1] is None else r[1], r[2]))
+    terms = lambda some: [np.array(r[2], np.int64) for r in some]
     known, other = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
     return Scorer().fit(terms(known), np.array([r[1] for r in known], int), terms(other), np.array([r[3] for r in other]).reshape(-1, PATTERNS))
 
