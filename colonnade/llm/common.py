@@ -70,6 +70,23 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: A key counts as hot from LEAST_HOT rows on, and from the share of rows that HOT_KEYS
+#: keys at most can have.
+LEAST_HOT, HOT_KEYS = 2000, 100_000
+
+
+def met_by(left: DataFrame, right: DataFrame, on: list[str], n: str) -> DataFrame:
+    """``left`` joined with ``right``, which has a row per key with ``n``, the key's rows in ``left``.
+
+    Hot keys, at most HOT_KEYS, are met where their rows are, by a broadcast; only the
+    rows of all others are exchanged.  Both sides are read more than once.
+    """
+    least = max(LEAST_HOT, left.count() // HOT_KEYS)
+    hot, rest = F.broadcast(right.where(F.col(n) >= least)), right.where(F.col(n) < least)
+    cold = left.join(F.broadcast(right.where(F.col(n) >= least).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(cold.join(rest, on))
+
+
 def row_of(df: DataFrame):
     """All columns of ``df`` as one struct column ``_row``, so that none can clash with an operator's own."""
     return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("_row")

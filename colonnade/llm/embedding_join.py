@@ -14,14 +14,16 @@ the replicas sent to it are cut into blocks, and tasks compare two blocks of the
 own or one of these with one of replicas, so a cell of any size is never gathered and two
 replicas never meet; a core's blocks meet only the few vectors within 1.5 e of the pivot.
 
-Scale: equal vectors are folded into one with a multiplicity first.  Pivots (at most
+Scale: equal vectors are folded into one with a multiplicity first, and a vector that many
+rows hold gets its result by a broadcast.  Pivots (at most
 ``max_pivots``) and per-cell figures are the only things that reach the driver.  Vectors
 without any cluster structure in many dimensions leave an exact metric join nothing to
 prune; the number of comparisons then nears n^2 / 2, in blocks, never as emitted pairs.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite components,
 or that has no vec_id, links with nothing and is kept; vectors of different dimension never
-link; repeated rows are vectors of their own; extra columns are ignored.
+link; repeated rows are vectors of their own; extra columns are ignored, whatever their
+names; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, tune
+from .common import Scratch, connected_components, met_by, tune
 
 SAMPLE = 4096
-BLOCK = 6000  # own vectors a task holds; of replicas, twice as many
+BLOCK = 12_000  # own vectors a task holds; of replicas, twice as many
 _FAR = 1 << 24  # numbers of replica blocks begin here
 _SLACK = 1e-7  # on angles: more than rounding can move them
 
@@ -119,7 +122,7 @@ def _joined(least: float):
     schema = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("low", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        vec = _vectors(table.column("vec"))
+        vec = _unit(_vectors(table.column("vec")))
         cid, mult, side, own = (table.column(c).to_numpy() for c in ("cid", "mult", "side", "owned"))
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
         own = own.astype(bool)
@@ -141,10 +144,14 @@ def link_embeddings(vectors: DataFrame, least: float = 0.95, max_pivots: int = 1
     tune(spark)
     scratch, sc = Scratch(spark), spark.sparkContext
     e = float(np.arccos(least))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    # single precision, if given, travels as such: every task computes in double
+    single = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType(), vectors.schema["embedding"].dataType.containsNull)
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     sound = F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     rows = rows.withColumn("sound", sound)
-    good = rows.where("sound").withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0)))  # -0.0 becomes 0.0
+    good = rows.where("sound").withColumn("vec", F.transform("vec", lambda v: v + F.lit(0.0).cast("float" if single else "double")))  # -0.0 becomes 0.0
+    good = good.withColumn("vec", F.col("vec").cast(kind))
     classes = scratch.table(good.groupBy("vec").agg(F.min("vec_id").alias("cid"), F.count(F.lit(1)).alias("mult")))
     dims = [(r[0], r[1]) for r in classes.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect()]
     found, core = None, None
@@ -152,7 +159,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.95, max_pivots: int = 1
         part = classes.where(F.size("vec") == dim)
         sample = part.orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).select("vec").toArrow().column("vec")
         pivots = choose_pivots(_unit(_vectors(sample)), int(min(max_pivots, max(1, n // 4000))))
-        got, kernel = _one_dimension(part, pivots, e, least, scratch, sc)
+        got, kernel = _one_dimension(part, pivots, e, least, kind, sc)
         found = got if found is None else found.union(got)
         core = kernel if core is None else core.union(kernel)
     if found is None:
@@ -166,15 +173,16 @@ def link_embeddings(vectors: DataFrame, least: float = 0.95, max_pivots: int = 1
     edges = links.select(F.col("cid").alias("a"), F.col("low").alias("b"))
     component = connected_components(spark, edges, scratch).withColumnRenamed("id", "cid")
     total = links.groupBy("cid").agg(F.sum("links").alias("links"))
-    per_class = scratch.table(classes.join(total, "cid", "left").join(component, "cid", "left").select("vec", F.col("cid"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id")))
-    out = good.select("vec_id", "vec").join(per_class, "vec").select("vec_id", "n_links", "component_id")
+    per_class = scratch.table(classes.join(total, "cid", "left").join(component, "cid", "left").select("vec", F.col("cid"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"), "mult"))
+    out = met_by(good.select("vec_id", "vec"), per_class, ["vec"], "mult").select("vec_id", "n_links", "component_id")
     out = out.union(rows.where("not sound").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float, scratch: Scratch, sc):
+def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float, kind: str, sc):
     """((cid, links, low) rows found by comparing, core rows (cell, cid, mult)) of one dimension."""
     number, dim = pivots.shape
+    raw = pa.float32() if kind == "array<float>" else pa.float64()
     fit = sc.broadcast(pivots)
 
     def radii(batches):
@@ -210,7 +218,7 @@ def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float,
     for r in part.select("vec").mapInArrow(sizes, "cell int, own long, replicas long, core long").groupBy("cell").agg(F.sum("own"), F.sum("replicas"), F.sum("core")).collect():
         count[:, r[0]] = r[1:]
     blocks = sc.broadcast(-(-count // np.array([[BLOCK], [2 * BLOCK], [BLOCK]])))
-    schema = pa.schema([("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("owned", pa.bool_()), ("cid", pa.int64()), ("mult", pa.int64()), ("vec", pa.list_(pa.float64()))])
+    schema = pa.schema([("cell", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("owned", pa.bool_()), ("cid", pa.int64()), ("mult", pa.int64()), ("vec", pa.list_(raw))])
 
     def targets(cid, row, cell, owned, core, near):
         """(membership, i, j, side) of every pair of blocks it takes part in; i = -1 - block marks cores."""
@@ -231,12 +239,13 @@ def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float,
     def dealt(batches):
         """A membership once for each pair of blocks it takes part in."""
         for batch in batches:
-            x, row, cell, owned, core, near = members(batch)
+            _, row, cell, owned, core, near = members(batch)
+            own = _vectors(batch.column("vec")).astype(raw.to_pandas_dtype())
             cid, mult = batch.column("cid").to_numpy(), batch.column("mult").to_numpy()
             for where in targets(cid, row, cell, owned, core, near):
                 for at in range(0, len(where[0]), 20_000):
                     k, i, j, side = (w[at : at + 20_000] for w in where)
-                    flat = pa.array(x[row[k]].ravel())
+                    flat = pa.array(own[row[k]].ravel())
                     vec = pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1, dtype=np.int32) * dim), flat)
                     yield pa.RecordBatch.from_arrays([*(pa.array(v.astype(np.int32)) for v in (cell[k], i, j, side)), pa.array(owned[k]), pa.array(cid[row[k]]), pa.array(mult[row[k]]), vec], schema=schema)
 
@@ -247,6 +256,6 @@ def _one_dimension(part: DataFrame, pivots: np.ndarray, e: float, least: float,
             cid, mult = batch.column("cid").to_numpy(), batch.column("mult").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(cell[at] + (dim << 32)), pa.array(cid[row[at]]), pa.array(mult[row[at]])], names=["cell", "cid", "mult"])
 
-    tasks = part.select("cid", "mult", "vec").mapInArrow(dealt, "cell int, i int, j int, side int, owned boolean, cid long, mult long, vec array<double>")
+    tasks = part.select("cid", "mult", "vec").mapInArrow(dealt, f"cell int, i int, j int, side int, owned boolean, cid long, mult long, vec {kind}")
     found = tasks.groupBy("cell", "i", "j").applyInArrow(_joined(least), "cid long, links long, low long")
     return found, part.select("cid", "mult", "vec").mapInArrow(cores, "cell long, cid long, mult long")

@@ -14,8 +14,8 @@ with a passage that spans them.
 
 Scale: windows are exchanged as 40-byte rows, counted with partial aggregation, so a
 passage that a third of all documents share reaches the final count as one row per task.
-Windows found more than HOT times, of which there are at most rows / HOT, are met by a
-broadcast of their first places and not exchanged again; the others are joined by hash.
+Hot windows (``met_by``) are met by a broadcast of their first places and not exchanged
+again; the others are joined by hash.
 Only positions inside repeated windows come back, folded per document; texts are
 exchanged once.
 
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_of, unpacked
+from .common import Scratch, met_by, row_of, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,10 +61,6 @@ def _long_windows(docs: DataFrame, long_words: int) -> DataFrame:
     return found.select("doc_id", "t", "w.a", "w.c", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("h2"))
 
 
-#: A window found more often is met by a broadcast; at most rows / HOT are.
-HOT = 20_000
-
-
 def covers_of(ids: DataFrame, scratch: Scratch, long_words: int | None) -> DataFrame:
     """(_id, _t, _covers) of documents (doc_id, text): spans of lines that later occurrences cover.
 
@@ -79,9 +75,7 @@ def covers_of(ids: DataFrame, scratch: Scratch, long_words: int | None) -> DataF
     windows = scratch.table(windows.withColumn("place", place.cast("decimal(30,0)")))
     first = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1")
     first = scratch.table(first)
-    met = windows.join(F.broadcast(first.where(F.col("n") > HOT).select("h1", "h2", "first")), ["h1", "h2"], "left")
-    rest = met.where("first is null").drop("first").join(first.where(F.col("n") <= HOT).select("h1", "h2", "first"), ["h1", "h2"])
-    later = met.where("first is not null").unionByName(rest).where("place <> first")
+    later = met_by(windows, first, ["h1", "h2"], "n").where("place <> first")
     # covers of a document: its distinct spans, at most one per line and length of window
     return later.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("a", "c")).alias("_covers"))
 

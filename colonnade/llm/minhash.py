@@ -17,12 +17,16 @@ a band is skipped.
 
 Scale: exchanged are (band hash, class) rows, then signatures of candidates, then texts of
 survivors.  A group of copies, even a third of all rows, is one class before banding; a
-group of near copies costs a star.  Nothing but counts reaches the driver.
+group of near copies costs a star.  Hot buckets, met by a group of near copies that may be
+a third of all rows, are met by a broadcast of their leaders.  Nothing but counts reaches
+the driver.
 
 Defined results: null texts and texts without words have an empty set and link with
 nothing; texts of fewer words than a shingle are one shingle of all their words; rows that
 repeat a doc_id are judged together under that id; a null doc_id links with nothing and is
-kept; extra columns are ignored.
+kept; extra columns are ignored, whatever their names; an empty table gives no row.
+Shingles are compared by 64-bit hashes, so two sets of 10^5 shingles meet falsely in one of
+them with odds of 10^-9.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordTable, connected_components, hash64, mix64, texts_of, tune, word_lists
+from .common import Scratch, WordTable, connected_components, met_by, hash64, mix64, texts_of, tune, word_lists
 
 BANDS, ROWS, BATCH = 32, 6, 24
 #: Members of a bucket in a task's two sides.
@@ -82,23 +86,28 @@ def _table() -> WordTable:
     return WordTable(hash64)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """A signed 64-bit id of a set: part of the xxh3 digest of its sorted hashes."""
-    return int(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles))) - (1 << 63)
+def set_id(shingles: np.ndarray, seed: int = 0) -> int:
+    """A signed 64-bit id of a set: the xxh3 digest of its sorted hashes."""
+    return int(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles) + (seed << 32))) - (1 << 63)
 
 
-def _signed(width: int, bands: int, rows: int):
-    """doc_id -> set size, set id, signature, band hashes."""
-    names = ["doc_id", "n_shingles", "sid", "sig", "bands"]
+#: Seed of the second digest, which tells sets of one id apart.
+_PROOF = 1 << 30
+
+
+def _signed(width: int, bands: int, rows: int, seed: int):
+    """doc_id -> set size, set id and second digest, signature, band hashes."""
+    names = ["doc_id", "n_shingles", "sid", "proof", "sig", "bands"]
 
     def run(batches):
         table = _table()
         for batch in batches:
-            size, sid, sig, band = [], [], [], [np.zeros(0, np.uint64)]
+            size, sid, proof, sig, band = [], [], [], [], [np.zeros(0, np.uint64)]
             for words in word_lists(texts_of(batch)):
                 s = shingle_set(words, table, width)
                 size.append(len(s))
-                sid.append(set_id(s))
+                sid.append(set_id(s, seed))
+                proof.append(set_id(s, _PROOF))
                 m = signature(s, bands * rows)
                 sig.append(m.tobytes())
                 h = np.arange(bands, dtype=np.uint64)
@@ -107,7 +116,7 @@ def _signed(width: int, bands: int, rows: int):
                 band.append(h)
             flat = pa.array(np.concatenate(band).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(sig, pa.binary()), lists], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(sid, pa.int64()), pa.array(proof, pa.int64()), pa.array(sig, pa.binary()), lists], names=names)
 
     return run
 
@@ -149,7 +158,7 @@ def _survivors(threshold: float, number: int, batch_size: int, miss: float):
     return run
 
 
-def _across(width: int, percent: int, bands: int, batch_size: int, miss: float):
+def _across(width: int, percent: int, bands: int, batch_size: int, miss: float, seed: int):
     """Links that join components among a block of outside members and a chunk of all members.
 
     A pair is judged in the first band it shares.  Candidates are verified by falling number
@@ -168,7 +177,7 @@ def _across(width: int, percent: int, bands: int, batch_size: int, miss: float):
         def full(i: int) -> np.ndarray:
             if sid[i] not in sets:
                 s = shingle_set(word_lists([texts[i].as_py() or ""])[0], words, width)
-                if set_id(s) != sid[i]:  # another text under the same doc_id
+                if set_id(s, seed) != sid[i]:  # another text under the same doc_id
                     return np.zeros(0, np.uint64)
                 sets[sid[i]] = s
             return sets[sid[i]]
@@ -196,7 +205,7 @@ def _across(width: int, percent: int, bands: int, batch_size: int, miss: float):
     return run
 
 
-def _verified(width: int, percent: int):
+def _verified(width: int, percent: int, seed: int):
     """Pairs whose full sets reach ``percent``; a text that isn't the class's own is skipped."""
 
     def run(batches):
@@ -210,7 +219,7 @@ def _verified(width: int, percent: int):
                     last = (a[i], x[i], shingle_set(word_lists([x[i]])[0], table, width))
                 one, other = last[2], shingle_set(word_lists([y[i]])[0], table, width)
                 common = len(np.intersect1d(one, other, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(other) - common) and set_id(one) == a[i] and set_id(other) == b[i]:
+                if 100 * common >= percent * (len(one) + len(other) - common) and set_id(one, seed) == a[i] and set_id(other, seed) == b[i]:
                     out.append(i)
             take = pa.array(out, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
@@ -218,24 +227,31 @@ def _verified(width: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-6, seed: int = 0) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row of ``docs`` (doc_id, text).
 
     Links are pairs with 100 * intersection >= ``percent`` * union of their shingle sets;
     ``miss`` is the posterior chance below which the Bayesian test gives up a pair.  At
-    the defaults a pair at 0.8 shares no band with odds of 6e-5, at 0.85 of 3e-7.
+    the defaults a pair at 0.8 shares no band with odds of 6e-5, at 0.85 of 3e-7.  Set ids
+    are 64-bit digests with ``seed``; should a second digest tell that different sets share
+    an id, ids are made anew with the next seed.
     """
     spark = docs.sparkSession
     tune(spark)
     scratch = Scratch(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.table(texts.mapInArrow(_signed(width, bands, rows), "doc_id long, n_shingles long, sid long, sig binary, bands array<long>"))
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+    sets = scratch.table(texts.mapInArrow(_signed(width, bands, rows, seed), "doc_id long, n_shingles long, sid long, proof long, sig binary, bands array<long>"))
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("proof").alias("low"), F.max("proof").alias("high"))
     classes = scratch.table(classes)
+    if not classes.where("low <> high").isEmpty():
+        scratch.drop(sets, classes)
+        return near_duplicates(docs, width, percent, bands, rows, miss, seed + 1)
+    classes = classes.drop("low", "high")
     signed = sets.select("doc_id", "sid", "n_shingles", "sig", "bands").join(classes, ["sid", "doc_id"], "left_semi").dropDuplicates(["sid", "doc_id"])
-    keyed = signed.select("sid", "n_shingles", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "sid", F.col("n_shingles").alias("weight"))
+    keyed = scratch.table(signed.select("sid", "n_shingles", F.posexplode("bands").alias("band", "hash")).select(F.xxhash64("band", "hash").alias("key"), "band", "sid", F.col("n_shingles").alias("weight")))
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("lead"), F.sum("weight").alias("all_weight")).where("n > 1")
-    buckets = scratch.table(keyed.join(met, "key").select("key", "band", "sid", "weight", "n", "lead", "all_weight"))
+    buckets = scratch.table(met_by(keyed, scratch.table(met), ["key"], "n").select("key", "band", "sid", "weight", "n", "lead", "all_weight"))
+    scratch.drop(keyed)
     # signatures and texts of the classes that share a bucket with another
     met_ids = buckets.select("sid").distinct()
     signatures = scratch.table(signed.select("sid", "doc_id", "sig").join(met_ids, "sid", "left_semi"))
@@ -247,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         both = pairs.join(sig.toDF("b", "sig_b"), "b").join(sig.toDF("a", "sig_a"), "a").select("a", "b", "sig_a", "sig_b")
         left = scratch.table(both.mapInArrow(_survivors(percent / 100, bands * rows, BATCH, miss), "a long, b long"))
         full = left.join(own.toDF("b", "text_b"), "b").join(own.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
-        found = scratch.table(full.mapInArrow(_verified(width, percent), "a long, b long").distinct())
+        found = scratch.table(full.mapInArrow(_verified(width, percent, seed), "a long, b long").distinct())
         scratch.drop(pairs, left)
         return found
 
@@ -268,7 +284,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     lefts = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(own_block.alias("block"), k.alias("chunk"), F.lit(True).alias("left")))
     dealt = rows_.withColumn("task", F.explode(F.when(F.col("outside"), F.concat(tasks, lefts)).otherwise(tasks))).select("key", "band", "sid", "component", "task.*")
     dealt = dealt.join(signatures.select("sid", "sig"), "sid").join(own, "sid")
-    across = dealt.groupBy("key", "block", "chunk").applyInArrow(_across(width, percent, bands, BATCH, miss), "a long, b long")
+    across = dealt.groupBy("key", "block", "chunk").applyInArrow(_across(width, percent, bands, BATCH, miss, seed), "a long, b long")
     new = scratch.table(across.distinct())
     if not new.isEmpty():
         links = scratch.table(links.union(new))

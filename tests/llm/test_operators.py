@@ -8,9 +8,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from colonnade.llm import embedding_join, fingerprint, html_extract, line_dedup, minhash, mixing, packing, pii, quality, toxicity
+from colonnade.llm import common, embedding_join, fingerprint, html_extract, line_dedup, minhash, mixing, packing, pii, quality, toxicity
 
 DIR = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -148,17 +149,20 @@ def _links(ids, x):
     return {i: (int(near[k].sum()), int(label[k])) for k, i in enumerate(ids)}
 
 
-@pytest.mark.parametrize("pivots", [1, 9])
-def test_embeddings(spark, monkeypatch, pivots):
+@pytest.mark.parametrize("pivots, kind", [(1, "double"), (9, "float"), (9, "double")])
+def test_embeddings(spark, monkeypatch, pivots, kind):
+    monkeypatch.setattr(common, "LEAST_HOT", 2 if kind == "float" else 2000)
     r = np.random.default_rng(1)
     x = np.repeat(r.normal(size=(6, 8)), 80, axis=0) + r.normal(size=(480, 8)) * 0.18
-    x = np.vstack([x, x[:50], x[:20] * 3])
+    x = np.vstack([x, x[:50], x[:20] * 3, np.repeat(x[:1], 9, axis=0)])
+    if kind == "float":
+        x = x.astype("f4").astype(float)
     monkeypatch.setattr(embedding_join, "BLOCK", 60)
     real = embedding_join.choose_pivots
     monkeypatch.setattr(embedding_join, "choose_pivots", lambda s, n: real(s, pivots))
     rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
     bad = [(9000, None, 1), (9001, [0.0] * 8, 1), (9002, [1.0, float("nan")], 2), (None, [1.0] * 8, 1), (9005, [], 3), (9006, [None, 1.0], 3)]
-    df = spark.createDataFrame([*rows, *bad, (9003, [1.0, 2.0], 1), (9004, [2.0, 4.0], 1)], "vec_id long, embedding array<double>, cell int")
+    df = spark.createDataFrame([*rows, *bad, (9003, [1.0, 2.0], 1), (9004, [2.0, 4.0], 1)], f"vec_id long, embedding array<{kind}>, cell int").selectExpr("*", "1 as vec", "2 as mult", "3 as cid")
     got = {q[0]: (q[1], q[2], q[3]) for q in embedding_join.link_embeddings(df).collect()}
     want = _links(range(len(x)), x)
     assert {k: v[:2] for k, v in got.items() if k in want} == want
@@ -271,8 +275,8 @@ def test_line_dedup_edges(spark, odd):
 
 def test_line_dedup_of_common_windows(spark, docs, monkeypatch):
     want = Counter(map(tuple, line_dedup.dedup_lines(docs, 50).select("doc_id", "text", "n_removed").collect()))
-    for hot in (1, 2):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
+    for hot in (1, 3):
+        monkeypatch.setattr(common, "LEAST_HOT", hot)
         assert Counter(map(tuple, line_dedup.dedup_lines(docs, 50).select("doc_id", "text", "n_removed").collect())) == want
 
 
@@ -571,6 +575,27 @@ def test_near_duplicates(spark, docs, odd):
     assert minhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def test_near_duplicates_of_hot_buckets_and_shared_ids(spark, docs, monkeypatch):
+    want = Counter(map(tuple, minhash.near_duplicates(docs, width=4).collect()))
+    monkeypatch.setattr(common, "LEAST_HOT", 2)
+    assert Counter(map(tuple, minhash.near_duplicates(docs, width=4).collect())) == want
+    texts = [f"{a} b c d e f {k}" for k, a in enumerate("pqrs")] + ["p b c d e f 0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    real, seeds = minhash._signed, []
+
+    def poor(width, bands, rows, seed):  # with the first seed all sets share an id
+        def run(batches):
+            for batch in real(width, bands, rows, seed)(batches):
+                yield batch.set_column(2, "sid", pa.array([5] * batch.num_rows, pa.int64())) if seed == 0 else batch
+
+        seeds.append(seed)
+        return run
+
+    monkeypatch.setattr(minhash, "_signed", poor)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert seeds == [0, 1] and got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
 def test_bayes_bounds_keep_true_pairs():
     least = minhash.least_matches(0.8, 192, 24, 1e-6)
     r = np.random.default_rng(3)
