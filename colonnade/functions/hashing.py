@@ -63,8 +63,9 @@ def murmur(df: DataFrame, name: str) -> Column:
 
 
 def identity(df: DataFrame, name: str) -> Column:
+    """The value's low 32 bits; 0 for a number that no bigint holds (NaN, infinities, 1e300)."""
     expect(df, name, NUMBERS)
-    return _low(F.col(name).cast("long"))
+    return _low(F.when(F.col(name).isNotNull(), F.coalesce(F.col(name).try_cast("long"), F.lit(0))))
 
 
 def row_hash(df: DataFrame, names: list[str], method: str = "murmur3", out: str = "hash") -> DataFrame:

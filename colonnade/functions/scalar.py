@@ -127,7 +127,7 @@ def validity_and(*names: str) -> Column:
 
 
 #: Ticks per day and the unit of a time column's ticks.
-UNITS = {"s": ("SECOND", 1), "ms": ("MILLISECOND", 1_000), "us": ("MICROSECOND", 1_000_000)}
+UNITS = {"s": ("SECOND", 1), "ms": ("MILLISECOND", 1_000), "us": ("MICROSECOND", 1_000_000), "ns": ("NANOSECOND", 1_000_000_000)}
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -135,7 +135,9 @@ def cast(df: DataFrame, name: str, to: str, unit: str = "ms") -> Column:
     """A column in another type: int8 to float64, date32, date64 or timestamp.
 
     Integers wrap, floats are truncated toward zero (out of range: null), times become or
-    come from ticks of ``unit`` (days for dates), and finer times are floored.
+    come from ticks of ``unit`` (days for dates), and finer times are floored.  Spark's
+    timestamps hold microseconds: nanosecond ticks are floored to these on their way in, and
+    come out as a bigint whose metadata names the unit.
     """
     kind, x = type_of(df, name), F.col(name)
     quoted = f"`{name}`"
@@ -147,10 +149,13 @@ def cast(df: DataFrame, name: str, to: str, unit: str = "ms") -> Column:
         if isinstance(kind, TIMES):
             if to == "date32":
                 return x.cast("date")
-            return F.date_trunc({"s": "SECOND", "ms": "MILLISECOND", "us": "MICROSECOND"}["ms" if to == "date64" else unit], x).cast("timestamp_ntz")
+            return F.date_trunc("MILLISECOND" if to == "date64" else UNITS["us" if unit == "ns" else unit][0], x).cast("timestamp_ntz")
         whole = F.expr(f"try_cast({quoted} as bigint)")
         if to == "date32":
             return F.date_from_unix_date(wrap(whole, T.IntegerType()))
+        if to == "timestamp" and unit == "ns":
+            ticks = f"try_cast({quoted} as bigint)"
+            return F.expr(f"timestampadd(MICROSECOND, ({ticks} - pmod({ticks}, 1000L)) div 1000L, {_EPOCH})")
         step = "MILLISECOND" if to == "date64" else UNITS[unit][0]
         return F.expr(f"timestampadd({step}, try_cast({quoted} as bigint), {_EPOCH})")
     target = {"int8": T.ByteType(), "int16": T.ShortType(), "int32": T.IntegerType(), "int64": T.LongType(), "float32": T.FloatType(), "float64": T.DoubleType()}.get(to)
@@ -159,6 +164,9 @@ def cast(df: DataFrame, name: str, to: str, unit: str = "ms") -> Column:
         number = F.unix_date(x).cast("long")
     elif isinstance(kind, TIMES):
         micros = F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, {quoted})")
+        if unit == "ns":
+            ticks = wrap(micros * 1000, target) if isinstance(target, INTEGERS) else (micros * 1000).cast(target)
+            return ticks.alias(name, metadata={"unit": "ns"})
         scale = 1_000_000 // UNITS[unit][1]
         number = F.expr(f"(timestampdiff(MICROSECOND, {_EPOCH}, {quoted}) - pmod(timestampdiff(MICROSECOND, {_EPOCH}, {quoted}), {scale}L)) div {scale}L") if scale > 1 else micros
     elif isinstance(target, FLOATS):

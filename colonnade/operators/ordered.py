@@ -26,20 +26,34 @@ def _bucket(x: Column, cuts: list[float], low: int = 0) -> Column:
     return F.when(x < cuts[mid], _bucket(x, cuts[:mid], low)).otherwise(_bucket(x, cuts[mid + 1 :], low + mid + 1))
 
 
-def range_number(df: DataFrame, key: str, parts: int | None = None) -> Column:
-    """A number that grows with ``key`` and splits its rows about evenly; nulls get 0.
+def _as_number(df: DataFrame, key: str) -> Column:
+    kind = type_of(df, key)
+    x = F.unix_date(key) if isinstance(kind, T.DateType) else F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{key}`)") if isinstance(kind, TIMES) else F.col(key)
+    return x.cast("double")
+
+
+def _cuts(df: DataFrame, key: str, parts: int) -> list[float]:
+    """Distinct quantiles of a number or time; none for other types."""
+    if not isinstance(type_of(df, key), NUMBERS + TIMES):
+        return []
+    x = df.select(_as_number(df, key).alias("x")).where("x is not null and not isnan(x)")
+    return sorted(set(x.approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts)))
+
 
-    A pure function of the key, so it needs no persisted partitioning; keys that aren't
-    numbers or times are one range.
+def ranged(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``df`` with an int ``_range`` that never decreases in ``order`` and splits the rows about evenly.
+
+    A first key that is a number or a time and has few ties is cut at sketched quantiles;
+    for any other Spark's range partitioner takes all of ``order``.
     """
-    kind = type_of(df, key)
     parts = min(MOST_RANGES, parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    if parts < 2 or not isinstance(kind, NUMBERS + TIMES):
-        return F.lit(0)
-    x = F.unix_date(key) if isinstance(kind, T.DateType) else F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{key}`)") if isinstance(kind, TIMES) else F.col(key)
-    x = x.cast("double")
-    cuts = sorted(set(df.select(x.alias("x")).where("x is not null and not isnan(x)").approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts)))
-    return F.when(x.isNull(), F.lit(0)).otherwise(_bucket(x, cuts))
+    if parts < 2:
+        return df.withColumn("_range", F.lit(0))
+    cuts = _cuts(df, order[0], parts)
+    if 4 * len(cuts) < 3 * (parts - 1):
+        return df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    x = _as_number(df, order[0])
+    return df.withColumn("_range", F.when(x.isNull(), F.lit(0)).otherwise(_bucket(x, cuts)))
 
 
 def prefix_sum(df: DataFrame, value: str, order: list[str], inclusive: bool = True, out: str = "prefix", result_type: str = "wide", parts: int | None = None) -> DataFrame:
@@ -48,12 +62,12 @@ def prefix_sum(df: DataFrame, value: str, order: list[str], inclusive: bool = Tr
     require(bool(order), INVALID_API_CALL, "no order")
     whole = isinstance(kind, INTEGERS)
     x = F.coalesce(F.col(value), F.lit(0)).cast("decimal(28,0)" if whole else "double")
-    ranged = df.withColumn("_range", range_number(df, order[0], parts)).withColumn("_x", x)
-    sums = ranged.groupBy("_range").agg(F.sum("_x").alias("_sum"))
+    split = ranged(df, order, parts).withColumn("_x", x)
+    sums = split.groupBy("_range").agg(F.sum("_x").alias("_sum"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     offsets = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    got = ranged.join(F.broadcast(offsets), "_range")  # at most MOST_RANGES rows
+    got = split.join(F.broadcast(offsets), "_range")  # at most MOST_RANGES rows
     total = F.coalesce(F.sum("_x").over(inside), F.lit(0)) + F.col("_offset")
     if whole:
         total = wrap_big(total.cast("decimal(38,0)"))
@@ -100,34 +114,54 @@ def segmented_sort(df: DataFrame, key: str, position: str, segments: list[tuple[
     Adds the position a row moves to; segments are disjoint.
     """
     expect(df, key, NUMBERS)
-    segs = df.sparkSession.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(segments)], "_seg int, _begin long, _end long")
-    inside = (F.col(position) >= F.col("_begin")) & (F.col(position) < F.col("_end"))
-    tagged = df.join(F.broadcast(segs), inside, "left")  # one row per segment the caller listed
+    # a segment is listed once for every stretch of positions it touches, so rows meet it by equality
+    span = max(1, sum(b - a for a, b in segments) // max(1, len(segments)))
+    listed = [(i, int(a), int(b), t) for i, (a, b) in enumerate(segments) for t in range(a // span, (b - 1) // span + 1) if b > a]
+    segs = df.sparkSession.createDataFrame(listed, "_seg int, _begin long, _end long, _at long")
+    inside = (F.floor(F.col(position) / span) == F.col("_at")) & (F.col(position) >= F.col("_begin")) & (F.col(position) < F.col("_end"))
+    tagged = df.join(segs, inside, "left")
     k = F.desc(key) if descending else F.asc(key)
     seated = Window.partitionBy("_seg").orderBy(k, F.asc(position))
     moved = tagged.where("_seg is not null").withColumn(out, F.col("_begin") + F.row_number().over(seated) - 1)
     still = tagged.where("_seg is null").withColumn(out, F.col(position).cast("long"))
-    return moved.union(still).drop("_seg", "_begin", "_end")
+    return moved.union(still).drop("_seg", "_begin", "_end", "_at")
 
 
 METHODS = ("linear", "lower", "higher", "midpoint", "nearest")
 
 
+#: Rows of the bracket around the wanted ranks that are sorted in one place.
+MOST_SORTED = 1_000_000
+
+
 def quantile(df: DataFrame, name: str, q: float, method: str = "linear", convention: str = "reference", out: str = "quantile") -> DataFrame:
-    """The exact quantile as one row; position q*n with k = max(floor(q*n) - 1, 0).
+    """The exact quantile as one row of type double; see ``quantile_values``."""
+    require(method in METHODS, UNSUPPORTED_METHOD, method)
+    got = quantile_values(df, name, q, convention)
+    if got is None:
+        return df.sparkSession.createDataFrame([(None,)], f"{out} double")
+    y0, y1, share = float(got[0]), float(got[1]), got[2]
+    value = {"linear": y0 + share * (y1 - y0) if share else y0, "lower": y0, "higher": y1, "midpoint": (y0 + y1) / 2, "nearest": y0 if share < 0.5 else y1}[method]
+    return df.sparkSession.createDataFrame([(value,)], f"{out} double")
+
+
+def quantile_values(df: DataFrame, name: str, q: float, convention: str = "reference") -> tuple | None:
+    """(value, next value, share of the way) around position q*n with k = max(floor(q*n) - 1, 0).
 
-    ``convention='standard'`` takes position q*(n-1) instead.  A sketch brackets the wanted
-    ranks, one pass counts the rows below the bracket, and only the bracket is sorted.
+    ``convention='standard'`` takes position q*(n-1) instead.  Values keep the column's type;
+    None if there is none.  A sketch brackets the wanted ranks, one pass counts the rows
+    below and inside, and a bracket of over MOST_SORTED rows is bracketed again; equal values
+    are folded with their number before the rest is sorted.
     """
-    require(method in METHODS, UNSUPPORTED_METHOD, method)
     require(convention in ("reference", "standard"), UNSUPPORTED_METHOD, convention)
     require(0 <= q <= 1, INVALID_API_CALL, f"q {q}")
     expect(df, name, NUMBERS)
-    spark = df.sparkSession
     x = df.select(F.col(name).alias("x")).where("x is not null")
-    n = x.count()
+    error = 0.001
+    low, high = _bracket(x, q, q, error)
+    n, below, inside = _counted(x, low, high)
     if not n:
-        return spark.createDataFrame([(None,)], f"{out} double")
+        return None
     place = q * n if convention == "reference" else q * (n - 1)
     k = int(place)
     share = place - k
@@ -136,25 +170,41 @@ def quantile(df: DataFrame, name: str, q: float, method: str = "linear", convent
         i, share = n - 1, 0.0
     if n < 2:
         i, share = 0, 0.0
-    values = _ranked(x, n, i)
-    y0, y1 = values[0], values[1] if i + 1 < n and q < 1 and n > 1 else values[0]
-    got = {"linear": lambda: y0 + share * (y1 - y0), "lower": lambda: y0, "higher": lambda: y1, "midpoint": lambda: (y0 + y1) / 2, "nearest": lambda: y0 if share < 0.5 else y1}[method]()
-    return spark.createDataFrame([(float(got),)], f"{out} double")
+    last = min(n - 1, i + 1)
+    part, before, rows = x, 0, n
+    while True:
+        if below <= i - before and last - before < below + inside:
+            part, before, narrower = part.where(_within(low, high)), before + below, inside < rows
+            rows = inside
+        else:
+            narrower = False  # the sketch missed: sort what there is
+        if rows <= MOST_SORTED or not narrower:
+            break
+        low, high = _bracket(part, (i - before) / rows, (last - before) / rows, error)
+        _, below, inside = _counted(part, low, high)
+    folded = part.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    upto = folded.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    got = upto.where((F.col("upto") > i - before) & (F.col("upto") - F.col("n") <= last - before)).orderBy("x").collect()  # two rows at most
+    values = [r["x"] for r in got]
+    return values[0], values[-1] if q < 1 else values[0], share
 
 
-def _ranked(x: DataFrame, n: int, i: int) -> list[float]:
-    """The values of ranks i and i + 1 (the last one twice at the end)."""
-    error = 0.001
-    low, high = x.approxQuantile("x", [max(0.0, i / n - 2 * error), min(1.0, (i + 1) / n + 2 * error)], error)
-    below = x.where(F.col("x") < low).count()
-    inside = x.where((F.col("x") >= low) & (F.col("x") <= high))
-    if below > i or below + inside.count() < min(n, i + 2):
-        below, inside = 0, x  # the sketch missed: sort it all
-    got = [r[0] for r in inside.orderBy("x").offset(i - below).limit(2).collect()]
-    return [float(v) for v in (got * 2)[:2]] if len(got) == 1 else [float(v) for v in got]
+def _bracket(x: DataFrame, start: float, stop: float, error: float) -> tuple[float, float]:
+    """Values (as double) below and above the ranks from ``start`` to ``stop``."""
+    got = x.approxQuantile("x", [max(0.0, start - 2 * error), min(1.0, stop + 2 * error)], error)
+    return (got[0], got[1]) if got else (0.0, 0.0)
+
+
+def _within(low: float, high: float) -> Column:
+    return (F.col("x").cast("double") >= low) & (F.col("x").cast("double") <= high)
+
+
+def _counted(x: DataFrame, low: float, high: float) -> tuple[int, int, int]:
+    return tuple(x.agg(F.count("x"), F.count_if(F.col("x").cast("double") < low), F.count_if(_within(low, high))).first())
 
 
 def order_statistic(df: DataFrame, name: str, q: float, out: str = "quantile") -> DataFrame:
     """The value at the lower rank, in the column's own type."""
     kind = expect(df, name, NUMBERS)
-    return quantile(df, name, q, "lower", out=out).select(F.col(out).cast(kind).alias(out))
+    got = quantile_values(df, name, q)
+    return df.sparkSession.createDataFrame([(None if got is None else got[0],)], T.StructType([T.StructField(out, kind)]))

@@ -139,15 +139,16 @@ def integer_product(df: DataFrame, name: str, out: str = "product") -> DataFrame
 
 # ---- group-by
 
-AGGREGATES = ("sum", "min", "max", "avg", "count")
+AGGREGATES = ("sum", "min", "max", "avg", "count", "count_distinct", "approx_percentile")
 
 
-def group_by(df: DataFrame, keys: list[str], op: str, value: str | None = None, method: str = "hash", sort_result: bool = False, result_type: str = "wide", representative: str | None = None, out: str | None = None) -> DataFrame:
-    """One aggregate per key tuple.
+def group_by(df: DataFrame, keys: list[str], op: str, value: str | None = None, method: str = "hash", sort_result: bool = False, result_type: str = "wide", representative: str | None = None, out: str | None = None, q: float = 0.5) -> DataFrame:
+    """One aggregate per key tuple; ``q`` is the share of approx_percentile.
 
     ``method='sort'`` or ``sort_result`` orders by key; ``representative`` adds the least
     value of an id column per group; ``result_type='input'`` keeps an integer sum or average
-    in the column's type (the average truncated).  Null keys form a group.
+    in the column's type (the average truncated).  Sums and averages of dates and times are
+    of their days or microseconds since 1970.  Null keys form a group.
     """
     require(op in AGGREGATES, UNSUPPORTED_METHOD, op)
     require(method in ("hash", "sort"), UNSUPPORTED_METHOD, method)
@@ -156,13 +157,16 @@ def group_by(df: DataFrame, keys: list[str], op: str, value: str | None = None,
     if op == "count":
         agg = F.count(F.lit(1))
     else:
-        kind = expect(df, value, NUMBERS + (TIMES if op in ("min", "max") else ()))
-        agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}[op](F.col(value))
-        if op == "sum" and result_type == "input":
+        kind = expect(df, value, (*NUMBERS, *TIMES, T.StringType) if op == "count_distinct" else NUMBERS + (() if op == "approx_percentile" else TIMES))
+        x = F.col(value)
+        if op in ("sum", "avg") and isinstance(kind, TIMES):
+            x = F.unix_date(x) if isinstance(kind, T.DateType) else F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), x)
+        agg = {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct, "approx_percentile": lambda c: F.percentile_approx(c, q, 10_000)}[op](x)
+        if op == "sum" and result_type == "input" and not isinstance(kind, TIMES):
             agg = reduction(df, "sum", value, "input", identity=False)
         if op == "avg" and isinstance(kind, INTEGERS) and result_type == "input":
             total = F.sum(F.col(value).cast("decimal(19,0)"))
-            agg = (total / F.count(value)).cast("decimal(38,6)").cast("long").cast(kind)
+            agg = F.call_function("div", total, F.count(value).cast("decimal(19,0)")).cast(kind)  # exact, toward zero
     extra = [F.min(representative).alias("representative")] if representative else []
     grouped = df.groupBy(*keys).agg(agg.alias(name), *extra)
     return grouped.orderBy(*keys) if method == "sort" or sort_result else grouped

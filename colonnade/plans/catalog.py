@@ -6,7 +6,11 @@ summation order matters.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import hashing as H
 from ..functions import scalar as S
@@ -75,6 +79,12 @@ def _cast_datetime(df):
     return d.select("event_id", F.col("d").alias("d32"), S.cast(df, "ts", "int64", "ms").alias("ms"), S.cast(d, "d", "int32").alias("days"), S.cast(df, "ts", "timestamp", "s").alias("s"), S.cast(df, "user_id", "date32").alias("from_days"))
 
 
+@query("cast_date64", "select event_id, date_trunc('millisecond', ts)::timestamp as d64, ts::date::timestamp as midnight, (epoch_us(ts) * 1000)::bigint as ns, make_timestamp((user_id::bigint * 1000000007) // 1000) as from_ns, epoch_ms(user_id::bigint)::timestamp as from_ms from events", "events")
+def _cast_date64(df):
+    d = df.select("event_id", "ts", F.col("user_id").cast("long").alias("ms"), (F.col("user_id").cast("long") * 1000000007).alias("ns")).withColumn("day", S.cast(df, "ts", "date32"))
+    return d.select("event_id", S.cast(d, "ts", "date64").alias("d64"), S.cast(d, "day", "date64").alias("midnight"), S.cast(d, "ts", "int64", "ns").alias("ns"), S.cast(d, "ns", "timestamp", "ns").alias("from_ns"), S.cast(d, "ms", "date64").alias("from_ms"))
+
+
 for _p in ("year", "month", "day", "hour", "minute", "second"):
 
     def _extract(df, p=_p):
@@ -97,6 +107,23 @@ def _arith_int(df):
     return d.select("o_orderkey", S.arithmetic(d, "mul", "a", "b").alias("m"), S.arithmetic(d, "floordiv", "c", "d").alias("f"))
 
 
+_SMALL = ", ".join(f"((({x}) & {m}) + {h}) % {m + 1} - {h} as {n}" for n, x, m, h in (("i8", "l_linenumber * l_suppkey", 255, 128), ("i16", "l_linenumber * l_suppkey * 31", 65535, 32768)))
+
+
+@query("arith_small_types", f"select {_KEYS}, i8::tinyint as i8, i16::smallint as i16, f32 from (select *, {_SMALL}, (l_quantity::float * l_tax::float) as f32 from lineitem)", "lineitem")
+def _arith_small(df):
+    one, two = F.col("l_linenumber").cast("long"), F.col("l_suppkey").cast("long")
+    wrapped = lambda x, kind: S.wrap(x, kind)
+    d = df.select("l_orderkey", "l_linenumber", *[wrapped(x, k()).alias(f"{n}{k.__name__[0]}") for k in (T.ByteType, T.ShortType) for n, x in (("a", one), ("b", two * (1 if k is T.ByteType else 31)))], F.col("l_quantity").cast("float").alias("q"), F.col("l_tax").cast("float").alias("t"))
+    return d.select("l_orderkey", "l_linenumber", S.arithmetic(d, "mul", "aB", "bB").alias("i8"), S.arithmetic(d, "mul", "aS", "bS").alias("i16"), S.arithmetic(d, "mul", "q", "t").alias("f32"))
+
+
+@query("unary_float32", f"select {_KEYS}, round(sqrt(l_quantity::float)::double, 3) as y, floor(l_extendedprice::float) as z from lineitem", "lineitem")
+def _unary_float(df):
+    d = df.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("float").alias("q"), F.col("l_extendedprice").cast("float").alias("p"))
+    return d.select("l_orderkey", "l_linenumber", F.round(S.unary(d, "sqrt", "q").cast("double"), 3).alias("y"), S.unary(d, "floor", "p").alias("z"))
+
+
 for _op, _sign in {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "=", "ne": "<>"}.items():
 
     def _cmp(df, op=_op):
@@ -219,7 +246,7 @@ def _sum_wrap(df):
 
 # ---- group-by
 
-for _op in R.AGGREGATES:
+for _op in ("sum", "min", "max", "avg", "count"):
     for _m in ("hash", "sort"):
 
         def _group(df, op=_op, m=_m):
@@ -234,6 +261,23 @@ def _group_multi(df):
     return R.group_by(df, ["l_suppkey", "l_returnflag", "l_linenumber"], "sum", "l_quantity", representative="l_orderkey", out="y").withColumn("y", F.round("y", 2))
 
 
+@query("groupby_count_distinct", "select l_returnflag, l_linestatus, count(distinct l_suppkey) as y from lineitem group by all", "lineitem")
+def _group_distinct(df):
+    return R.group_by(df, ["l_returnflag", "l_linestatus"], "count_distinct", "l_suppkey", out="y")
+
+
+@query("groupby_date_avg", "select event_type, sum(ts::date - date '1970-01-01')::bigint as days, round(avg(ts::date - date '1970-01-01'), 6) as y from events group by all", "events")
+def _group_dates(df):
+    d = df.withColumn("d", S.cast(df, "ts", "date32"))
+    both = R.join(R.group_by(d, ["event_type"], "sum", "d", out="days"), R.group_by(d, ["event_type"], "avg", "d", out="y"), ["event_type"])
+    return both.select("event_type", "days", F.round("y", 6).alias("y"))
+
+
+@query("groupby_approx_percentile", "select l_linenumber, min(l_quantity) filter (where r >= n * 0.5) as y from (select l_linenumber, l_quantity, row_number() over w as r, count(*) over (partition by l_linenumber) as n from lineitem window w as (partition by l_linenumber order by l_quantity)) group by 1", "lineitem")
+def _group_percentile(df):
+    return R.group_by(df, ["l_linenumber"], "approx_percentile", "l_quantity", out="y")
+
+
 @query("groupby_int_avg_trunc", "select l_suppkey, trunc(avg(l_linenumber))::integer as y from lineitem group by all", "lineitem")
 def _group_trunc(df):
     return R.group_by(df, ["l_suppkey"], "avg", "l_linenumber", result_type="input", out="y")
@@ -264,6 +308,17 @@ for _op in O._WINDOW:
     query(f"window_rows_{_op}", f"select event_id, {_y if _op == 'count' else f'round({_y}, 6)'} as y from events", "events")(_window)
 
 
+@query("window_descending", "select event_id, round(sum(value) over (partition by user_id order by ts desc, event_id desc rows between 2 preceding and current row), 6) as y from events", "events")
+def _descending(df):
+    d = O.window_aggregate(df.select("event_id", "user_id", "ts", "value"), "sum", "value", ["user_id"], ["ts", "event_id"], "rows", -2, 0, descending=True, out="y")
+    return d.select("event_id", F.round("y", 6).alias("y"))
+
+
+@query("prefix_sum_text_key", "select c_name, (sum(c_nationkey) over (order by c_name, c_custkey))::bigint as prefix from customer", "customer")
+def _prefix_text(df):
+    return O.prefix_sum(df.select("c_name", "c_custkey", "c_nationkey"), "c_nationkey", ["c_name", "c_custkey"]).select("c_name", "prefix")
+
+
 @query("window_range_sum", "select event_id, (sum(user_id) over (partition by event_type order by event_id range between 500 preceding and current row))::bigint as y from events", "events")
 def _range(df):
     return O.window_aggregate(df, "sum", "user_id", ["event_type"], ["event_id"], "range", -500, 0, out="y").select("event_id", "y")
@@ -292,9 +347,11 @@ def _radix_bits(df):
     return O.radix_sort(df.select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", bits=(2, 8))
 
 
-@query("segmented_sort", "select event_id, value, case when event_id >= 100 and event_id < 900 then 99 + row_number() over (partition by event_id >= 100 and event_id < 900 order by value, event_id) else event_id end::bigint as new_position from events", "events")
+@query("segmented_sort", "select event_id, value, (event_id // 1000 * 1000 + row_number() over (partition by event_id // 1000 order by value, event_id) - 1)::bigint as new_position from events", "events")
 def _segmented(df):
-    return O.segmented_sort(df.select("event_id", "value"), "value", "event_id", [(100, 900)])
+    d = df.select("event_id", "value")
+    end = d.agg(F.max("event_id")).first()[0] or 0
+    return O.segmented_sort(d, "value", "event_id", [(a, a + 1000) for a in range(0, end + 1, 1000)])
 
 
 _QUANTILE = "with s as (select l_extendedprice as x, row_number() over (order by l_extendedprice) - 1 as r, count(*) over () as n from lineitem), p as (select max(n) as n, floor(0.33::double * max(n))::bigint as k, 0.33::double * max(n) - floor(0.33::double * max(n)) as f from s), y as (select f, (select x from s where r = greatest(k - 1, 0)) as y0, (select x from s where r = greatest(k - 1, 0) + 1) as y1 from p) select {} as quantile from y"
@@ -345,11 +402,6 @@ def _hash_identity(df):
     return H.row_hash(df.select("o_orderkey"), ["o_orderkey"], "identity")
 
 
-@query("hash_columns", None, "orders")
-def _hash_columns(df):
-    return df.select("o_orderkey", H.column_hash(["o_orderkey", "o_orderstatus"]))
-
-
 _FNV_BYTES = "[" + ", ".join(f"(({c} >> {8 * k}) & 255)::hugeint" for c in ("o_orderkey::bigint", "o_custkey::bigint") for k in range(8)) + "]"
 _FNV = f"list_reduce(list_prepend(14695981039346656037::hugeint, list_transform({_FNV_BYTES}, lambda b: case when b > 127 then b + {(1 << 64) - 256}::hugeint else b end)), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % {1 << 64}::hugeint)"
 
@@ -360,6 +412,12 @@ def _hash_fnv(df):
     return d.select("o_orderkey", H.fnv_hash(d, ["a", "b"]))
 
 
+@query("hash_columns", f"select o_custkey, o_orderkey, (case when h >= 9223372036854775808 then h - {1 << 64}::hugeint else h end)::bigint as hash from (select o_custkey, o_orderkey, {_FNV} as h from orders)", "orders")
+def _hash_columns(df):
+    d = df.select("o_custkey", "o_orderkey", F.col("o_orderkey").cast("long").alias("a"), F.col("o_custkey").cast("long").alias("b"))
+    return d.select("o_custkey", "o_orderkey", H.fnv_hash(d, ["a", "b"]))
+
+
 @query("hash_partition_ids", f"select o_orderkey, (h % 10)::integer as part from {_ROW_HASH}", "orders")
 def _partition_ids(df):
     return H.hash_partition(df.select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"], 10).select("o_orderkey", "part")
@@ -387,15 +445,40 @@ def _csr_offsets(df):
     return files.csr_row_offsets(_csr_part(df), "p_partkey", ["a", "b", "c"])
 
 
-def _csv_round_trip(spark, sf_dir):
-    """Writes nation as text under the shared checkpoint folder and reads it back."""
-    import uuid
+def _shared_folder(spark) -> str:
+    """A new path under the folder that the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="colonnade-")  # one machine: nothing else to share with
+    return f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/csv-{uuid.uuid4().hex}"
+
+def _csv_round_trip(spark, sf_dir):
+    """Writes supplier as text under the shared checkpoint folder and reads it back."""
+    path = _shared_folder(spark)
     files.write_csv(table(spark, sf_dir, "supplier"), path)
     return files.read_csv(spark, path, ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], ["int64", "str", "int32", "float64"])
 
 
 QUERIES["csv_round_trip"] = _csv_round_trip
 ORACLES["csv_round_trip"] = "select s_suppkey, s_name, s_nationkey, s_acctbal from supplier"
+
+
+def _csv_dates(spark, sf_dir):
+    """Writes days and clock times of events as one text file and reads all but two lines at either end."""
+    path = _shared_folder(spark)
+    days = table(spark, sf_dir, "events").orderBy("event_id").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("t")).coalesce(1)
+    files.write_csv(days.sortWithinPartitions("event_id"), path, "|")
+    return files.read_csv(spark, path, ["event_id", "d", "t"], ["int64", "date32", "date64"], delimiter="|", skiprows=2, skipfooter=2)
+
+
+QUERIES["csv_dates_skip"] = _csv_dates
+ORACLES["csv_dates_skip"] = "select event_id::bigint as event_id, ts::date as d, date_trunc('second', ts)::timestamp as t from (select *, row_number() over (order by event_id) as r, count(*) over () as n from events) where r > 2 and r <= n - 2"
+
+
+@query("arrow_round_trip", "select n_nationkey, n_name, n_regionkey from nation", "nation")
+def _arrow(df):
+    schema, batches = files.to_arrow_parts(df.select("n_nationkey", "n_name", "n_regionkey"))
+    return files.from_arrow_parts(df.sparkSession, schema, batches)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,13 +37,26 @@ def _parsed(text: Column, kind: str, dayfirst: bool) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("bigint" if kind == "ticks" else kind)
 
 
+def _numbered_lines(spark: SparkSession, path: str, lineterminator: str | None) -> DataFrame:
+    """(value, number, total): each line of a file, its number in the file and the file's lines.
+
+    Lines are counted per block of a file; only one count per block is put in order.
+    """
+    text = spark.read.text(path, lineSep=lineterminator) if lineterminator else spark.read.text(path)
+    at = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = at.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    file = Window.partitionBy("file")
+    before = F.coalesce(F.sum("n").over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"), F.sum("n").over(file).alias("total"))
+    return at.join(F.broadcast(blocks), ["file", "block"]).select("value", (F.col("id") - F.col("first") + F.col("before")).alias("number"), "total")  # a row per block
+
+
 def read_csv(spark: SparkSession, path: str, names: list[str], dtypes: list[str], delimiter: str = ",", lineterminator: str | None = None, delim_whitespace: bool = False, skipinitialspace: bool = False, skiprows: int = 0, skipfooter: int = 0, dayfirst: bool = False) -> DataFrame:
     """Headerless, unquoted text files with caller-given names and types.
 
     Empty and missing fields are null, blanks around non-text values are trimmed, numbers
-    may hold thousands commas, a last line without terminator is kept.  Skipping rows
-    numbers the lines of one file by a streaming pass; without it the scan is a plain
-    splittable read.
+    may hold thousands commas, a last line without terminator is kept.  Rows are skipped
+    per file, by counts of its blocks' lines.
     """
     require(len(names) == len(dtypes), INVALID_API_CALL, "names and dtypes differ in number")
     for d in dtypes:
@@ -52,10 +65,10 @@ def read_csv(spark: SparkSession, path: str, names: list[str], dtypes: list[str]
     raw = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(names))])
     options = {"sep": sep, "quote": "", "escape": "", "mode": "PERMISSIVE", "nullValue": "", "header": "false"} | ({"lineSep": lineterminator} if lineterminator else {})
     if skiprows or skipfooter:
-        lines = spark.sparkContext.textFile(path)
-        last = lines.count() - skipfooter if skipfooter else None
-        kept = lines.zipWithIndex().filter(lambda x: x[1] >= skiprows and (last is None or x[1] < last)).map(lambda x: x[0])
-        df = spark.read.schema(raw).options(**options).csv(kept)
+        lines = _numbered_lines(spark, path, lineterminator)
+        kept = lines.where((F.col("number") >= skiprows) & (F.col("number") < F.col("total") - skipfooter))
+        fields = F.from_csv("value", ", ".join(f"_{i} string" for i in range(len(names))), options | {"mode": "PERMISSIVE"})
+        df = kept.select(fields.alias("f")).select("f.*")
     else:
         df = spark.read.schema(raw).options(**options).csv(path)
     return df.select(*[_parsed(F.col(f"_{i}"), CSV_TYPES[d], dayfirst).alias(n) for i, (n, d) in enumerate(zip(names, dtypes, strict=True))])
@@ -77,6 +90,37 @@ def from_arrow_stream(spark: SparkSession, data: bytes) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(plain, names=table.column_names))
 
 
+def from_arrow_parts(spark: SparkSession, schema: bytes, batches: list[bytes]) -> DataFrame:
+    """A schema message and record batch messages, given apart, as a DataFrame."""
+    import pyarrow as pa
+
+    kind = pa.ipc.read_schema(pa.py_buffer(schema))
+    return spark.createDataFrame(pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(b), kind) for b in batches], kind))
+
+
+def to_arrow_parts(df: DataFrame) -> tuple[bytes, list[bytes]]:
+    """The schema message and the record batch messages of a DataFrame small enough for one process."""
+    table = df.toArrow()
+    return table.schema.serialize().to_pybytes(), [b.serialize().to_pybytes() for b in table.to_batches()]
+
+
+def arrow_layout(schema: bytes, batch: bytes) -> list[dict]:
+    """Name, type, rows, nulls and buffer sizes of each column of a record batch message."""
+    import pyarrow as pa
+
+    kind = pa.ipc.read_schema(pa.py_buffer(schema))
+    got = pa.ipc.read_record_batch(pa.py_buffer(batch), kind)
+    return [{"name": f.name, "type": str(f.type), "rows": len(c), "nulls": c.null_count, "buffers": [b.size if b else 0 for b in c.buffers()]} for f, c in zip(kind, got.columns, strict=True)]
+
+
+def category_codes(df: DataFrame, name: str, out: str = "code") -> Column:
+    """The 32-bit code of a text category: its Murmur3 hash at seed 0; null for null."""
+    from ..functions.hashing import murmur
+
+    signed = murmur(df, name).bitwiseXOR(F.lit(0x80000000).cast("long")) - F.lit(0x80000000).cast("long")
+    return F.when(F.col(name).isNotNull(), signed.cast("int")).alias(out)
+
+
 def to_arrow_stream(df: DataFrame) -> bytes:
     """A DataFrame, small enough for one process, as an Arrow IPC stream."""
     import pyarrow as pa

@@ -270,3 +270,99 @@ def test_streaming_group_by(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["sum_v"] for r in spark.sql("select * from wgb").collect()) == [10, 35]
+
+
+# ---- exactness at the edges of types, and order without one task
+
+
+def test_average_in_the_input_type_truncates(spark):
+    d = spark.range(10_000).select((F.lit(0)).alias("g"), F.when(F.col("id") == 0, -2).otherwise(-3).cast("int").alias("x"))
+    assert relational.group_by(d, ["g"], "avg", "x", result_type="input", out="y").first().y == -2
+    d = spark.range(9, numPartitions=2).select(F.lit(0).alias("g"), F.lit((1 << 62) + 1).cast("long").alias("x"))
+    assert relational.group_by(d, ["g"], "avg", "x", result_type="input", out="y").first().y == (1 << 62) + 1
+
+
+def test_order_statistic_keeps_large_integers(spark):
+    d = spark.createDataFrame([((1 << 53) + k,) for k in (1, 3, 5)], "x long")
+    assert [ordered.order_statistic(d, "x", q).first()[0] - (1 << 53) for q in (0.0, 0.7, 1.0)] == [1, 3, 5]
+    assert ordered.order_statistic(d.limit(0), "x", 0.5).first()[0] is None
+
+
+def test_quantile_narrows_its_bracket(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_SORTED", 5)
+    for values in ([k * 37 % 1009 for k in range(1009)], [k % 3 for k in range(900)], [7] * 500, [None, 1, 2, None]):
+        d = spark.createDataFrame([(v,) for v in values], "x int").repartition(3)
+        plain = sorted(v for v in values if v is not None)
+        for q in (0.0, 0.2, 0.5, 0.77, 1.0):
+            at = len(plain) - 1 if q == 1 else max(int(q * len(plain)) - 1, 0)
+            assert ordered.quantile(d, "x", q, "lower").first()[0] == plain[at]
+            assert ordered.quantile(d, "x", q, "higher").first()[0] == plain[at if q == 1 else min(at + 1, len(plain) - 1)]
+
+
+def test_identity_hash_of_any_number(spark):
+    d = spark.createDataFrame([(float("nan"),), (1e300,), (float("-inf"),), (-1.0,), (None,), (5.9,)], "x double")
+    assert [r[0] for r in hashing.row_hash(d, ["x"], "identity").select("hash").collect()] == [0, 0, 0, -1, 0, 5]
+
+
+def test_csv_skips_rows_by_its_terminator(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("head;1,2020-01-02;2,2021-03-04;3,;foot")
+    got = files.read_csv(spark, f"{tmp_path}/a.csv", ["a", "d"], ["int32", "date32"], lineterminator=";", skiprows=1, skipfooter=1).collect()
+    assert [(r.a, str(r.d)) for r in got] == [(1, "2020-01-02"), (2, "2021-03-04"), (3, "None")]
+    (tmp_path / "b.csv").write_text("".join(f"{k},x{k}\n" for k in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        got = files.read_csv(spark, f"{tmp_path}/b.csv", ["a", "b"], ["int64", "str"], skiprows=7, skipfooter=3)
+        assert got.rdd.getNumPartitions() > 3
+        assert [r.a for r in got.orderBy("a").collect()] == list(range(7, 59_997))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("key", ["cast(id % 3 as string)", "0", "cast(id as string)", "nullif(id % 5, 0)"])
+def test_prefix_sum_splits_any_keys(spark, key):
+    d = spark.range(400).selectExpr(f"{key} as k", "id", "id * id as v").repartition(5)
+    assert ordered.ranged(d, ["k", "id"], 4).select("_range").distinct().count() >= 3
+    rows = sorted(((r.k is not None, r.k, r.id, r.v) for r in d.collect()), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+    total, want = 0, {}
+    for _, _, i, v in rows:
+        total += v
+        want[i] = total
+    assert {r.id: r.prefix for r in ordered.prefix_sum(d, "v", ["k", "id"], parts=4).collect()} == want
+
+
+def test_segments_that_overlap_no_stretch_evenly(spark):
+    d = spark.range(100).selectExpr("id", "cast((id * 37) % 101 as int) as v")
+    got = {r.id: r.new_position for r in ordered.segmented_sort(d, "v", "id", [(0, 3), (3, 3), (5, 60), (90, 200)]).collect()}
+    for a, b in ((0, 3), (5, 60), (90, 100)):
+        order = sorted(range(a, b), key=lambda i: ((i * 37) % 101, i))
+        assert [got[i] for i in order] == list(range(a, b))
+    assert all(got[i] == i for i in [3, 4, *range(60, 90)]) and len(got) == 100
+
+
+def test_named_ranges_reach_the_jobs(spark):
+    from colonnade.trace import traced
+
+    sc = spark.sparkContext
+    with traced(spark, "outer"):
+        with traced(spark, "inner"):
+            assert sc.getLocalProperty("spark.job.description") == "outer / inner"
+        assert sc.getLocalProperty("spark.job.description") == "outer"
+    assert sc.getLocalProperty("spark.job.description") is None
+
+
+def test_arrow_parts_and_layout(spark):
+    d = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "x int, s string").coalesce(1)
+    schema, batches = files.to_arrow_parts(d)
+    assert files.from_arrow_parts(spark, schema, batches).collect() == d.collect()
+    layout = [files.arrow_layout(schema, b) for b in batches]
+    assert [[(c["name"], sum(b[k]["rows"] for b in layout), sum(b[k]["nulls"] for b in layout)) for k, c in enumerate(layout[0])]] == [[("x", 3, 1), ("s", 3, 1)]]
+    assert files.from_arrow_parts(spark, schema, []).collect() == []
+    codes = [r[0] for r in d.select(files.category_codes(d, "s")).collect()]
+    assert codes[1] is None and len(set(codes)) == 3
+
+
+def test_nanosecond_ticks(spark):
+    d = spark.sql("select timestamp_ntz'1970-01-01 00:00:01.000002' as t, -1L as n")
+    out = d.select(scalar.cast(d, "t", "int64", "ns"), scalar.cast(d, "n", "timestamp", "ns").alias("back"))
+    assert out.first()[0] == 1_000_002_000 and str(out.first().back) == "1969-12-31 23:59:59.999999"
+    assert out.schema[0].metadata == {"unit": "ns"}
