@@ -273,11 +273,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # compared, in blocks, with every member of another component.
     placed = buckets.where("n > 2").join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = scratch.table(placed)
-    lead = placed.where("sid = lead").select("key", F.col("component").alias("of_lead"))
-    tally = placed.join(lead, "key").groupBy("key").agg(F.first("of_lead").alias("of_lead"), F.count_if(F.col("component") != F.col("of_lead")).alias("out"), F.sum(F.when(F.col("component") != F.col("of_lead"), F.col("weight"))).alias("out_weight")).where("out > 0")
+    lead = placed.where("sid = lead").select("key", F.col("component").alias("of_lead"), F.col("n").alias("members"))
+    tally = met_by(placed, scratch.table(lead), ["key"], "members").groupBy("key").agg(F.first("of_lead").alias("of_lead"), F.first("members").alias("members"), F.count_if(F.col("component") != F.col("of_lead")).alias("out"), F.sum(F.when(F.col("component") != F.col("of_lead"), F.col("weight"))).alias("out_weight")).where("out > 0")
     blocks = F.greatest(F.ceil(F.col("out") / LEFT), F.ceil(F.col("out_weight") / WEIGHT)).cast("int").alias("blocks")
     chunks = F.greatest(F.ceil(F.col("n") / RIGHT), F.ceil(F.col("all_weight") / WEIGHT)).cast("int").alias("chunks")
-    rows_ = placed.join(tally, "key").select("key", "band", "sid", "component", F.col("component") != F.col("of_lead"), blocks, chunks).toDF("key", "band", "sid", "component", "outside", "blocks", "chunks")
+    rows_ = met_by(placed, scratch.table(tally), ["key"], "members").select("key", "band", "sid", "component", F.col("component") != F.col("of_lead"), blocks, chunks).toDF("key", "band", "sid", "component", "outside", "blocks", "chunks")
     drawn = F.xxhash64("sid")
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(k.alias("block"), F.pmod(drawn, F.col("chunks")).cast("int").alias("chunk"), F.lit(False).alias("left")))
     own_block = F.pmod(F.shiftright(drawn, 20), F.col("blocks")).cast("int")
