@@ -52,7 +52,7 @@ class Scratch:
             folder = tempfile.mkdtemp(prefix="colonnade-")  # one machine: nothing else to share with
             spark.sparkContext.setCheckpointDir(folder)
         self.root = f"{folder.rstrip('/')}/colonnade-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.live = 0, {}
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -60,14 +60,21 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.live[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            if self.live.pop(t.scratch_path, None) is not None:
+                path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+                path.getFileSystem(conf).delete(path, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but these, which the returned plan still reads."""
+        kept = {t.scratch_path for t in tables}
+        self.drop(*[t for path, t in self.live.items() if path not in kept])
 
 
 #: A key counts as hot from LEAST_HOT rows on, and from the share of rows that HOT_KEYS

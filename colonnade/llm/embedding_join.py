@@ -174,6 +174,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.95, max_pivots: int = 1
     component = connected_components(spark, edges, scratch).withColumnRenamed("id", "cid")
     total = links.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = scratch.table(classes.join(total, "cid", "left").join(component, "cid", "left").select("vec", F.col("cid"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"), "mult"))
+    scratch.keep_only(per_class)
     out = met_by(good.select("vec_id", "vec"), per_class, ["vec"], "mult").select("vec_id", "n_links", "component_id")
     out = out.union(rows.where("not sound").select("vec_id", F.lit(0).cast("long"), F.col("vec_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -333,6 +333,7 @@ def extract_main_text(pages: DataFrame, min_pages: int = 3, min_share: float = 0
     name = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64(name).alias("host"))
     listed = templates(rows, scratch, min_pages, min_share)
+    scratch.keep_only(listed)
     number, per_host = listed.count(), listed.groupBy("host").agg(F.collect_set("key").alias("template"))
     if number <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(per_host), "host", "left")

@@ -293,6 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     of_class = classes.join(component.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = scratch.table(of_class.join(least, "component").select("sid", "component_id"))
+    scratch.keep_only(sets, of_class)
     ids = sets.select("doc_id", "n_shingles", "sid").join(of_class, "sid", "left")
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = ids.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
