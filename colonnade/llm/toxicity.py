@@ -1,7 +1,8 @@
 """Toxicity scores by weak supervision.
 
-Voters: lexicon terms (words and word beginnings of 3 to 6 letters) and patterns
-(shouting, runs of exclamation marks).  The lexicon is
+Voters: lexicon terms (words, word beginnings of 3 to 6 letters, and beginnings that two
+or more distinct words of the text share) and patterns (shouting, runs of exclamation
+marks).  The lexicon is
 mined from labelled rows, which is all that labels are used for: no list of words could
 know the corpus's invented languages.  Of the rows a term stands in nine in ten are toxic,
 and terms that stand in nearly the same rows as a stronger one are left out.  The lexicon
@@ -60,6 +61,19 @@ def terms_of(word: str) -> list[int]:
     return [_hash(word), *(_hash(f"{word[:k]}*") for k in range(3, 7) if len(word) >= k)]
 
 
+#: Turns a term into the one that says that two or more distinct words of the text give it.
+_SHARED = _hash("shared")
+
+
+def terms_in(lists) -> set[int]:
+    """All terms of a text's distinct words, given the terms of each, and the shared ones' marks."""
+    once, more = set(), set()
+    for terms in lists:
+        for t in terms:
+            (more if t in once else once).add(t)
+    return once | {t ^ _SHARED for t in more}
+
+
 def patterns(text: str, words: set[str], hits: int) -> tuple[int, ...]:
     return int(bool(_SHOUT.search(text))), int(bool(_BANG.search(text))), int(hits > 0 and not _SECOND.isdisjoint(words)), int(hits == 0)
 
@@ -68,7 +82,7 @@ def _counted(batches):
     """(term, toxic rows, other rows) of a batch of labelled texts."""
     table = WordTable(terms_of, 200_000)
     for batch in batches:
-        rows = [np.fromiter({t for w in set(_WORD.findall(text.lower())) for t in table[w]}, np.int64) for text in texts_of(batch)]
+        rows = [np.fromiter(terms_in(map(table.__getitem__, set(_WORD.findall(text.lower())))), np.int64) for text in texts_of(batch)]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False), [len(r) for r in rows])
         term, at = np.unique(flat, return_inverse=True)
@@ -82,12 +96,12 @@ def _hits(candidates):
 
     def run(batches):
         known = candidates.value
-        table = WordTable(lambda w: [t for t in terms_of(w) if t in known], 500_000)
+        table = WordTable(lambda w: [t for t in terms_of(w) if t in known or t ^ _SHARED in known], 500_000)
         for batch in batches:
             out, pattern = [], []
             for text in texts_of(batch):
                 words = set(_WORD.findall(text.lower()))
-                out.append(sorted({t for w in words for t in table[w]}))
+                out.append(sorted(known & terms_in(map(table.__getitem__, words))))
                 pattern.append(list(patterns(text, words, 1)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(out, pa.list_(pa.int64())), pa.array(pattern, pa.list_(pa.int64()))], names=["doc_id", "label", "terms", "patterns"])
 
@@ -161,13 +175,14 @@ class Scorer:
         self.terms: dict[int, int] = {}
         self.w, self.bias = np.zeros(PATTERNS), -30.0
 
-    def ids_of(self, word: str) -> tuple[int, ...]:
-        return tuple(k for t in terms_of(word) if (k := self.terms.get(t)) is not None)
+    def known_of(self, word: str) -> tuple[int, ...]:
+        """Terms of a word that the lexicon holds, alone or shared."""
+        return tuple(t for t in terms_of(word) if t in self.terms or t ^ _SHARED in self.terms)
 
     def score(self, text: str, table: WordTable) -> float:
         words = set(_WORD.findall(text.lower()))
-        hit = {k for ids in map(table.__getitem__, words) for k in ids}
-        z = self.bias + float(self.w[:PATTERNS] @ np.array(patterns(text, words, len(hit)))) + float(sum(self.w[PATTERNS + k] for k in hit))
+        hit = [k for t in terms_in(map(table.__getitem__, words)) if (k := self.terms.get(t)) is not None]
+        z = self.bias + float(self.w[:PATTERNS] @ np.array(patterns(text, words, len(hit)))) + float(sum(self.w[PATTERNS + k] for k in sorted(hit)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     def fit(self, labelled: list[np.ndarray], y: np.ndarray, rows: list[np.ndarray], pattern: np.ndarray, voters: int = 12) -> Scorer:
@@ -236,7 +251,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, s
 
     def run(batches):
         scorer = model.value
-        table = WordTable(scorer.ids_of, 500_000)
+        table = WordTable(scorer.known_of, 500_000)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([scorer.score(t, table) for t in texts_of(batch)], pa.float64())], names=["doc_id", "score"])
 
