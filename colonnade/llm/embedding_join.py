@@ -88,31 +88,64 @@ def _spread(rows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, np.arange(len(out)) - np.repeat(np.cumsum(times) - times, times)
 
 
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the least member of each one's set) after joining the sets of a[k] and b[k]."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        parent = np.arange(len(label))
+        np.minimum.at(parent, np.maximum(la, lb), np.minimum(la, lb))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
+def near_pairs(x: np.ndarray, y: np.ndarray, x4: np.ndarray, y4: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and y, unit vectors, whose cosine in double precision is >= least.
+
+    ``x4`` and ``y4`` are the same in single precision.  Their products decide all pairs
+    that rounding cannot have moved over the limit; the few others are computed again.
+    """
+    slack = (x.shape[1] + 8) * 2 * np.finfo(np.float32).eps  # over twice the bound on the rounding of a product
+    cos = (x4 @ y4.T).ravel()
+    at = np.flatnonzero(cos >= np.float32(least - slack))
+    sure = cos[at] > np.float32(least + slack)
+    r, c = np.divmod(at, len(y))
+    for k in np.array_split(np.flatnonzero(~sure), len(at) // (1 << 14) + 1):
+        sure[k] = np.einsum("ij,ij->i", x[r[k]], y[c[k]]) >= least
+    return r[sure], c[sure]
+
+
+#: Rows and columns of a tile of pairs: its cosines stay in a core's cache.
+TILE = 512, 2048
+
+
 def linked(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, ids: np.ndarray, same: bool, owned_x, owned_y, least: float):
     """Links of x with y (both owned-aware): counts for either side, and least ids reached.
 
-    A pair counts if one of the two is owned by the cell.  ``same``: x and y are one set.
+    A pair counts if one of the two is owned by the cell.  ``same``: x and y are one set,
+    whose pairs are met once and counted for both.
     """
-    n = len(x)
-    to_x, to_y = np.zeros(n, np.int64), np.zeros(len(y), np.int64)
+    to_x, to_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
     label = np.arange(len(ids))
-    base = 0 if same else n
-    for at in range(0, n, 512):
-        hit = (x[at : at + 512] @ y.T) >= least
-        hit &= owned_x[at : at + 512, None] | owned_y[None, :]
-        if same:
-            hit[np.arange(len(hit)), at + np.arange(len(hit))] = False
-        if not hit.any():
-            continue
-        to_x[at : at + 512] += hit @ my
-        if not same:
-            to_y += mx[at : at + 512] @ hit
-        for r in np.flatnonzero(hit.any(axis=1)):
-            members = np.append(base + np.flatnonzero(hit[r]), at + r)
-            found = label[members]
-            low = found.min()
-            if (found != low).any():
-                label[np.isin(label, found)] = low
+    base = 0 if same else len(x)
+    x4, y4 = x.astype(np.float32), y.astype(np.float32)
+    for at in range(0, len(x), TILE[0]):
+        rows = slice(at, at + TILE[0])
+        for to in range(at // TILE[1] * TILE[1] if same else 0, len(y), TILE[1]):
+            cols = slice(to, to + TILE[1])
+            r, c = near_pairs(x[rows], y[cols], x4[rows], y4[cols], least)
+            r, c = at + r, to + c
+            some = (owned_x[r] | owned_y[c]) & ((c > r) | (not same))
+            r, c = r[some], c[some]
+            np.add.at(to_x, r, my[c])
+            np.add.at(to_y, c, mx[r])
+            label = united(label, r, base + c)
+    if same:
+        to_x = to_y = to_x + to_y
     out = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(out, label, ids)
     return to_x, to_y, out[label]

@@ -171,6 +171,40 @@ def test_embeddings(spark, monkeypatch, pivots, kind):
     assert embedding_join.link_embeddings(df.limit(0)).collect() == []
 
 
+def test_pairs_at_the_limit():
+    r = np.random.default_rng(4)
+    x = embedding_join._unit(r.normal(size=(700, 24)))
+    turn = embedding_join._unit(r.normal(size=x.shape))
+    turn = embedding_join._unit(turn - (turn * x).sum(1, keepdims=True) * x)
+    angle = np.arccos(0.95) + r.choice([-1e-3, -1e-6, -1e-8, -1e-11, 1e-11, 1e-8, 1e-6, 1e-3], 700)
+    y = embedding_join._unit(np.cos(angle)[:, None] * x + np.sin(angle)[:, None] * turn)
+    want = np.einsum("ij,kj->ik", x, y) >= 0.95
+    got = np.zeros_like(want)
+    got[embedding_join.near_pairs(x, y, x.astype("f4"), y.astype("f4"), 0.95)] = True
+    assert (got == want).all() and want.any() and not want.diagonal().all()
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_linked_by_brute_force(monkeypatch, same):
+    monkeypatch.setattr(embedding_join, "TILE", (7, 11))
+    r = np.random.default_rng(5)
+    x = embedding_join._unit(r.normal(size=(60, 3)))
+    y = x if same else embedding_join._unit(r.normal(size=(45, 3)))
+    mx, owned_x = r.integers(1, 4, 60), r.random(60) < 0.6
+    my, owned_y = (mx, owned_x) if same else (r.integers(1, 4, 45), r.random(45) < 0.6)
+    ids = r.permutation(60 if same else 105) * 3
+    hit = ((x @ y.T) >= 0.9) & (owned_x[:, None] | owned_y[None, :])
+    if same:
+        np.fill_diagonal(hit, False)
+    low = ids.copy()
+    for _ in ids:
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            j = j if same else 60 + j
+            low[i] = low[j] = min(low[i], low[j])
+    a, b, least = embedding_join.linked(x, y, mx, my, ids, same, owned_x, owned_y, 0.9)
+    assert (a == hit @ my).all() and (b == (a if same else mx @ hit)).all() and (least == low).all()
+
+
 # ---- 3
 
 
