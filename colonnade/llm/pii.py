@@ -21,6 +21,7 @@ columns are ignored, whatever their names; an empty table gives no row.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -40,6 +41,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRAINED, WINDOW, STRIDE = 96, 256, 192
 #: Windows decoded together.
 BLOCK = 512
+#: Steps whose scores are held together.
+SOME = 8
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -72,6 +75,8 @@ def _emails(text: str) -> list[Span]:
 def base_spans(text: str) -> list[Span]:
     """Spans of the four base kinds, sorted by start, then kind."""
     out = _emails(text) if "@" in text else []
+    if not any(d in text for d in "0123456789"):
+        return out
     for m in _IP.finditer(text):
         if all(len(n) <= 3 and int(n or 0) <= 255 for n in (p.lstrip("0") for p in m.groups())):
             out.append((1, *m.span()))
@@ -86,14 +91,24 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+def _alphabet() -> np.ndarray:
+    """Codes of the characters below 0x2000, and of all others in the last place."""
+    out = np.full(0x2001, 98, np.uint8)
+    out[32:127] = np.arange(1, 96)
+    out[[9, 10, 13]] = 96
+    out[0xC0:0x2000] = 97
+    return out
+
+
+_CODES = _alphabet()
+
+
 def codes(text: str) -> np.ndarray:
     """A small alphabet: ASCII by itself, then line ends, other letters, anything else."""
+    if text.isascii():
+        return _CODES[np.frombuffer(text.encode(), np.uint8)]
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = np.where((raw >= 32) & (raw < 127), raw - 31, 0)
-    out[(raw == 10) | (raw == 13) | (raw == 9)] = 96
-    out[(raw >= 0xC0) & (raw < 0x2000)] = 97
-    out[((raw >= 127) & (raw < 0xC0)) | (raw >= 0x2000) | ((raw < 32) & (out == 0))] = 98
-    return out.astype(np.int64)
+    return _CODES[np.minimum(raw, 0x2000)]
 
 
 ALPHABET = 99  # 0 pads
@@ -166,37 +181,58 @@ class Tagger:
         both = np.concatenate([fwd, bwd[::-1]], axis=2)
         return both @ self.p["O"] + self.p["c"], both, tf, tb
 
-    def _states(self, x: np.ndarray, d: str) -> np.ndarray:
-        """Hidden states (steps, h, n) of one direction of codes (steps, n), without a trace."""
-        p, h = self.p, self.h
-        half = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), h)  # sigmoid(z) = (1 + tanh(z / 2)) / 2
-        table = np.ascontiguousarray(((p["E"] @ p[f"W{d}"] + p[f"B{d}"]) * half).T.astype(np.float32))
-        inner = np.ascontiguousarray((p[f"U{d}"] * half).T.astype(np.float32))
-        out = np.empty((len(x), h, x.shape[1]), np.float32)
-        state, cell = np.zeros(out.shape[1:], np.float32), np.zeros(out.shape[1:], np.float32)
-        z, drive, new = np.empty((4 * h, x.shape[1]), np.float32), np.empty((4 * h, x.shape[1]), np.float32), np.empty_like(cell)
-        gate = z[: 3 * h]
-        for t in range(len(x)):
-            np.dot(inner, state, out=z)
-            np.take(table, x[t], axis=1, out=drive, mode="clip")
-            z += drive
-            np.tanh(z, out=z)
-            gate *= 0.5
-            gate += 0.5
-            cell *= gate[h : 2 * h]
-            np.multiply(gate[:h], z[3 * h :], out=new)
-            cell += new
-            state = out[t]
-            np.tanh(cell, out=state)
-            state *= gate[2 * h :]
+    def _states(self, x: np.ndarray) -> np.ndarray:
+        """(n, steps) codes -> rows (steps + 2, ., n) that hold the states of both directions.
+
+        Both directions go side by side.  Row t + 1 is what step t reads: the backward state
+        after it, embedding, a one, the forward state before it; each direction's part is one
+        product away from its gates.  Gates are 1 / (1 + exp(-z)), and tanh(z) = 2 / (1 + exp(-2z)) - 1,
+        as numpy's exp is fast on CPUs where its tanh isn't.  States and cells are held halved.
+        """
+        p, h, w = self.p, self.h, self.p["E"].shape[1]
+        (n, steps), one = x.shape, h + w
+        scale = np.repeat(np.array([-1, -1, -1, -2], np.float32), h)[:, None]
+        parts = {d: (2 * p[f"U{d}"].T, p[f"W{d}"].T, p[f"B{d}"][:, None]) for d in "fb"}
+        fwd = (np.hstack([parts["f"][k] for k in (1, 2, 0)]) * scale).astype(np.float32)
+        bwd = (np.hstack(parts["b"]) * scale).astype(np.float32)
+        held = np.empty((steps + 2, one + 1 + h, n), np.float32)
+        held[1, one + 1 :], held[steps, :h], held[:, one] = 0, 0, 1
+        embed, at = np.ascontiguousarray(p["E"].T.astype(np.float32)), x.T.astype(np.intp, order="C")
+        for t in range(steps):
+            np.take(embed, at[t], axis=1, out=held[t + 1, h:one], mode="clip")
+        z, cell, bent = np.empty((2, 4 * h, n), np.float32), np.zeros((2, h, n), np.float32), np.empty((2, h, n), np.float32)
+        into, keep, out, new = z.reshape(2, 4, h, n).swapaxes(0, 1)
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is the limit, 0
+            for t in range(steps):
+                f, b = t + 1, steps - t
+                np.dot(fwd, held[f, h:], out=z[0])
+                np.dot(bwd, held[b, : one + 1], out=z[1])
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                new -= 0.5
+                new *= into
+                cell *= keep
+                cell += new
+                np.multiply(cell, -4, out=bent)
+                np.exp(bent, out=bent)
+                bent += 1
+                np.reciprocal(bent, out=bent)
+                bent -= 0.5
+                np.multiply(bent[0], out[0], out=held[f + 1, one + 1 :])
+                np.multiply(bent[1], out[1], out=held[b - 1, :h])
+        return held
+
+    def _emit(self, held: np.ndarray) -> np.ndarray:
+        """Emission scores (steps, tags, n) from rows of ``_states``, two more than steps."""
+        h, tags = self.h, 2 * self.p["O"].T
+        out = np.hstack([self.p["c"][:, None], tags[:, :h]]).astype(np.float32) @ held[2:, -1 - h :]
+        out += tags[:, h:].astype(np.float32) @ held[:-2, :h]
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(n, steps) codes -> emission scores (steps, tags, n), as ``scores``."""
-        x = x.astype(np.intp)
-        fwd, bwd = self._states(x.T, "f"), self._states(x.T[::-1], "b")[::-1]
-        out = np.ascontiguousarray(self.p["O"].T.astype(np.float32))
-        return out[:, : self.h] @ fwd + out[:, self.h :] @ bwd + self.p["c"].astype(np.float32)[:, None]
+        return self._emit(self._states(x))
 
     def undecided(self, emit: np.ndarray) -> np.ndarray:
         """Windows (of ``emissions``) whose best path might leave the tag 'outside'.
@@ -205,10 +241,18 @@ class Tagger:
         inside for each but one, a move in and a move out.  So the greatest sum of any
         stretch of (lead + move inside) tells whether one could win.
         """
+        return self._winnable(self._leads(emit))
+
+    @staticmethod
+    def _leads(emit: np.ndarray) -> np.ndarray:
+        return emit[:, 1:].max(axis=1) - emit[:, 0]
+
+    def _winnable(self, lead: np.ndarray) -> np.ndarray:
+        """``undecided`` from the greatest leads (steps, n) over 'outside'."""
         move, start = self.p["T"] - self.p["T"][0, 0], self.p["s"] - self.p["s"][0]
         inside = float(move[1:, 1:].max())
         around = max(float(move[0, 1:].max()), float(start[1:].max())) + max(float(move[1:, 0].max()), 0.0)
-        lead = emit[:, 1:].max(axis=1) - emit[:, 0] + inside
+        lead = lead + inside
         run = np.zeros(lead.shape[1], np.float32)
         best = np.full_like(run, -np.inf)
         for now in lead:
@@ -226,6 +270,26 @@ class Tagger:
             out[some] = self.viterbi(emit[:, :, some])
         return out
 
+    def inside(self, blocks):
+        """(owner, best tags) of the windows of ``blocks`` (windows, owners) that hold any tag but 'outside'.
+
+        Undecided windows wait for those of other blocks: Viterbi's steps cost nearly the same
+        for one window as for hundreds.  Scores are held for a few steps at a time; those of
+        undecided windows are made again.
+        """
+        held, owners = [], []
+        for x, own in itertools.chain(blocks, [(None, [])]):
+            if x is not None:
+                rows = self._states(x)
+                leads = [self._leads(self._emit(rows[t : t + SOME + 2])) for t in range(0, len(rows) - 2, SOME)]
+                some = np.flatnonzero(self._winnable(np.concatenate(leads)))
+                held.append(self._emit(rows[:, :, some]))
+                owners.extend(own[j] for j in some)
+            if owners and (x is None or len(owners) >= BLOCK):
+                tags = self.viterbi(np.concatenate(held, axis=2))
+                yield from ((owners[j], tags[j]) for j in np.flatnonzero(tags.any(axis=1)))
+                held, owners = [], []
+
     def viterbi(self, emit: np.ndarray) -> np.ndarray:
         """Best tags (n, steps) of emission scores (steps, tags, n)."""
         steps, k, n = emit.shape
@@ -377,7 +441,7 @@ def training_windows(texts: list[str], made: int = 2000, seed: int = 4) -> tuple
 
 def windows(text: str) -> np.ndarray:
     """The codes of all windows (number, WINDOW) of a text; the last is padded."""
-    code = codes(text).astype(np.uint8)
+    code = codes(text)
     number = max(1, -(-(len(code) - (WINDOW - STRIDE)) // STRIDE))
     full = np.zeros((number - 1) * STRIDE + WINDOW, np.uint8)
     full[: len(code)] = code
@@ -443,6 +507,35 @@ def added(text: str, base: list[Span], found: list[Span]) -> list[Span]:
     return out
 
 
+#: Rows of least hash searched first for the training sample, as a multiple of it.
+NEAR = 20
+
+
+def chosen_ids(texts: DataFrame, sample: int) -> list[int]:
+    """Ids of the ``sample`` rows of least hash that hold a digit or '@', and of as many that don't.
+
+    The NEAR * ``sample`` rows of least hash, found without their texts, are searched first;
+    every text is searched only where these hold too few of either sort.
+    """
+    rows = texts.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    near = rows.select("doc_id", "h").orderBy("h", "doc_id").limit(NEAR * sample).select("doc_id").distinct()
+    able = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)).alias("able")
+    met = rows.join(F.broadcast(near), "doc_id").select("doc_id", "h", able).groupBy("h", "doc_id").agg(F.count_if("able").alias("able"), F.count_if(~F.col("able")).alias("rest")).collect()
+    total = {sort: sum(r[sort] for r in met) for sort in ("able", "rest")}
+    if sum(total.values()) >= NEAR * sample and min(total.values()) < sample:
+        rows = rows.select("doc_id", "h", able)
+        chosen = [rows.where(F.col("able") == x).orderBy("h", "doc_id").limit(sample) for x in (True, False)]
+        return [r["doc_id"] for r in chosen[0].union(chosen[1]).select("doc_id").distinct().collect()]
+    out = set()
+    for sort in total:
+        seen = 0
+        for r in sorted(met):
+            if r[sort] and seen < sample:
+                seen += r[sort]
+                out.add(r["doc_id"])
+    return list(out)
+
+
 def fit_tagger(docs: DataFrame, sample: int = 300, spans: int = 4) -> Tagger:
     """Trained on snippets of at most ``sample`` documents that hold a digit or '@', and as many others.
 
@@ -457,10 +550,7 @@ def fit_tagger(docs: DataFrame, sample: int = 300, spans: int = 4) -> Tagger:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([x for f in found for x in f], pa.string())], names=["doc_id", "snippet"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = texts.select("doc_id", F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)).alias("able"), F.xxhash64("doc_id").alias("h"))
-    chosen = [ids.where(F.col("able") == able).orderBy("h", "doc_id").limit(sample) for able in (True, False)]
-    chosen = chosen[0].union(chosen[1]).select("doc_id").distinct()
-    got = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(cut, "doc_id long, snippet string")
+    got = texts.where(F.col("doc_id").isin(chosen_ids(texts, sample))).mapInArrow(cut, "doc_id long, snippet string")
     got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "snippet").limit(2 * sample * (spans + 1)).collect()
     x, y = training_windows([r["snippet"] for r in got])
     return Tagger().fit(x, y)
@@ -504,11 +594,8 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
         for batch in batches:
             texts = texts_of(batch)
             tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
-            for held, owner in _blocks(texts):
-                found = tagger.decode(held)
-                for j in np.flatnonzero(found.any(axis=1)):
-                    i, k = owner[j]
-                    tags[i][k] = found[j]
+            for (i, k), found in tagger.inside(_blocks(texts)):
+                tags[i][k] = found
             out = []
             for doc_id, text, t in zip(batch.column("doc_id").to_pylist(), texts, tags, strict=True):
                 base = base_spans(text)

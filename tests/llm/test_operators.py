@@ -539,6 +539,60 @@ def test_decoding_finds_the_best_path():
     assert seen > 100
 
 
+def test_undecided_windows_of_all_blocks_are_decoded_together(monkeypatch):
+    r, t = np.random.default_rng(3), pii.Tagger()
+    t.p["c"] = np.append(np.float32(0.8), np.zeros(pii.TAGS - 1, np.float32))
+    x = r.integers(0, pii.ALPHABET, (300, pii.SOME + 4)).astype(np.uint8)
+    want = {j: tags for j, tags in enumerate(t.decode(x, prove=False)) if tags.any()}
+    viterbi, calls = t.viterbi, []
+    monkeypatch.setattr(t, "viterbi", lambda emit: calls.append(emit.shape[2]) or viterbi(emit))
+    for most, few in ((pii.BLOCK, 1), (50, 5)):  # once for 15 blocks; as often as the bound asks for
+        monkeypatch.setattr(pii, "BLOCK", most)
+        calls.clear()
+        got = dict(t.inside((x[k : k + 20], list(range(k, k + 20))) for k in range(0, 300, 20)))
+        assert got.keys() == want.keys() and all((got[k] == want[k]).all() for k in want)
+        assert 1 <= len(calls) <= few and sum(calls) < 300
+    assert 40 < len(want) < 300 and list(t.inside([])) == []
+
+
+def test_gates_far_from_zero():
+    r, t = np.random.default_rng(4), pii.Tagger()
+    for k in ("Wf", "Wb", "Bf"):
+        t.p[k] = t.p[k] * np.float32(1000)
+    x = r.integers(0, pii.ALPHABET, (50, 30)).astype(np.uint8)
+    with np.errstate(invalid="raise", divide="raise"):
+        assert np.allclose(t.emissions(x), t.scores(x.astype(int))[0].transpose(0, 2, 1), atol=1e-3)
+
+
+def test_texts_without_digits_are_not_searched_for_numbers():
+    from time import process_time
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = process_time()
+            f()
+            took.append(process_time() - began)
+        return min(took)
+
+    text = "plain words a@b.co and no numbers at all, é \n" * 20_000
+    assert pii.base_spans(text[:46]) == [(0, 12, 18)]
+    plain = text.replace("@", " ")
+    assert least(lambda: pii.base_spans(plain)) < least(lambda: [list(p.finditer(plain)) for p in (pii._IP, pii._CARD)]) / 3
+
+
+def test_training_ids_are_those_of_least_hash(spark):
+    from pyspark.sql import functions as F
+
+    for rare, rows in ((3, 4000), (900, 4000), (5, 50)):  # met among the first, or by a search of all texts; few rows
+        texts = spark.range(rows).selectExpr("if(id = 9, null, id % 3000) as doc_id", f"case when id % {rare} = 1 then 'a 1' when id % 7 = 0 then null else 'b' end as text")
+        for sample in (2, 30):
+            ids = texts.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False)).alias("able"), F.xxhash64("doc_id").alias("h"))
+            want = {r["doc_id"] for able in (True, False) for r in ids.where(F.col("able") == able).orderBy("h", "doc_id").limit(sample).collect()}
+            assert set(pii.chosen_ids(texts, sample)) == want
+    assert pii.chosen_ids(texts.limit(0), 3) == []
+
+
 def test_numbers_of_any_length():
     assert pii.base_spans("x 1.2.3." + "0" * 5000) == [(1, 2, 5008)]
     assert pii.base_spans("9" * 6000 + "." + "1.1.1") == [] and pii.base_spans("1.2.3.0255 1.2.3.256") == [(1, 0, 10)]
