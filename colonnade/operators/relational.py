@@ -35,21 +35,43 @@ def equality_filter(df: DataFrame, values: dict) -> DataFrame:
 # ---- joins
 
 _HINTS = {"hash": "shuffle_hash", "sort": "merge", "broadcast": "broadcast", "auto": None}
-#: Largest plan estimate of a side that method='broadcast' will ship to every executor.
-BROADCAST_BYTES = 512 << 20
+#: Most bytes of rows, as Spark holds them, that method='broadcast' will ship to every executor.
+BROADCAST_BYTES = 32 << 20
+#: Largest plan estimate of a side that is measured for a broadcast; a larger one is shuffled at once.
+MEASURED_BYTES = 512 << 20
 
 
 def _estimate(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def _fits(df: DataFrame) -> bool:
+    """Whether all rows are within BROADCAST_BYTES; never so if a column is nested.
+
+    Plan estimates are of compressed files, so rows are counted and lengths of texts summed:
+    one job, which reads text columns only.
+    """
+    if _estimate(df) > MEASURED_BYTES:
+        return False
+    flat, extra = df.toDF(*[f"_{i}" for i in range(len(df.columns))]), F.lit(0)
+    for f in flat.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            extra = extra + F.coalesce(F.octet_length(f.name), F.lit(0)) + 7
+        elif isinstance(f.dataType, T.DecimalType):
+            extra = extra + 16
+        elif not isinstance(f.dataType, (*NUMBERS, *TIMES, T.BooleanType)):
+            return False
+    n, more = flat.agg(F.count(F.lit(1)), F.coalesce(F.sum(extra.cast("long")), F.lit(0))).first()
+    return n * 8 * (len(df.columns) + -(-len(df.columns) // 64)) + more <= BROADCAST_BYTES
+
+
 def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | list[str], how: str = "inner", method: str = "auto", output: str = "table", left_id: str | None = None, right_id: str | None = None) -> DataFrame:
     """Equi-join on pairs of columns: inner, left, full (and Spark's right, semi, anti).
 
     Columns come out as [left others, keys, right others], one copy of each key, named as on
     the left; nulls never match.  ``output='indices'`` gives (left_id, right_id) with -1 for
-    no match.  'broadcast' falls back to a shuffled join if the right side's estimate is
-    above BROADCAST_BYTES.
+    no match.  'broadcast' measures the right side first and falls back to a sort-merge join
+    if its rows are above BROADCAST_BYTES.
     """
     require(how in ("inner", "left", "full", "right", "left_semi", "left_anti"), UNSUPPORTED_JOIN_TYPE, how)
     require(method in _HINTS, UNSUPPORTED_METHOD, method)
@@ -58,8 +80,10 @@ def join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]] | list[str
     for a, b in pairs:
         x, y = type_of(left, a), type_of(right, b)
         require(x == y, JOIN_DTYPE_MISMATCH, f"{a} {x.simpleString()}, {b} {y.simpleString()}")
-    if method == "broadcast" and (how == "full" or _estimate(right) > BROADCAST_BYTES):
-        method = "auto"
+    if method == "broadcast" and (how in ("full", "right") or right.isStreaming):
+        method = "auto"  # the right side can't be broadcast
+    elif method == "broadcast" and not _fits(right):
+        method = "sort"
     right_keys = {b: f"_right_{i}" for i, (_, b) in enumerate(pairs)}
     r = right.withColumnsRenamed(right_keys)
     if _HINTS[method]:

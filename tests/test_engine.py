@@ -111,6 +111,20 @@ def test_joins_against_loops(spark, how, method):
     assert relational.join(a.limit(0), b.limit(0), ["k"], how, method).count() == 0
 
 
+@pytest.mark.parametrize("how", ["inner"])
+def test_broadcast_is_for_rows_that_fit(spark, tmp_path, how):
+    spark.range(1_200_000).selectExpr("id % 7 as k", "id % 3 as a", "'' as s").write.parquet(f"{tmp_path}/many")  # a few KB of file, 38 MB of rows
+    spark.range(5).selectExpr("id as k", "id % 3 as a", f"repeat('x', {8 << 20}) as s").coalesce(1).write.parquet(f"{tmp_path}/long")
+    many, long = (spark.read.parquet(f"{tmp_path}/{x}") for x in ("many", "long"))
+    left, few = spark.createDataFrame([(6, 1), (9, 2)], "k long, lid int"), many.where("k = 6").limit(100)
+    for right, fits, rows in ((many, False, 171_428), (long, False, 0), (few, True, 100), (long.drop("s"), True, 0)):
+        got = relational.join(left, right, ["k"], how, "broadcast")
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == fits
+        assert got.where("a is not null").count() == rows
+        assert got.where("a is null").count() == (how == "left") * (2 - (rows > 0))
+    assert relational.join(left, few.selectExpr("k", "array(a) as a"), ["k"], how, "broadcast").where("a is not null").count() == 100
+
+
 def test_join_errors(spark):
     a, b = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1,)], "k long")
     for bad in (dict(on=["k"]), dict(on=[("k", "k")], how="cross")):
