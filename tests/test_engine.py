@@ -111,7 +111,7 @@ def test_joins_against_loops(spark, how, method):
     assert relational.join(a.limit(0), b.limit(0), ["k"], how, method).count() == 0
 
 
-@pytest.mark.parametrize("how", ["inner"])
+@pytest.mark.parametrize("how", ["inner", "left"])
 def test_broadcast_is_for_rows_that_fit(spark, tmp_path, how):
     spark.range(1_200_000).selectExpr("id % 7 as k", "id % 3 as a", "'' as s").write.parquet(f"{tmp_path}/many")  # a few KB of file, 38 MB of rows
     spark.range(5).selectExpr("id as k", "id % 3 as a", f"repeat('x', {8 << 20}) as s").coalesce(1).write.parquet(f"{tmp_path}/long")
