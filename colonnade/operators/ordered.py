@@ -96,6 +96,15 @@ def order_by(df: DataFrame, columns: list[str], permutation: str | None = None)
     return out.select(permutation) if permutation else out
 
 
+#: About the most rows of a range that ``sorted_ranges`` sorts at once.
+RANGE_ROWS = 250_000
+
+
+def sorted_ranges(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows sorted inside and across partitions of at most about RANGE_ROWS rows, however many there are."""
+    return df.repartitionByRange(max(1, -(-df.count() // RANGE_ROWS)), *columns).sortWithinPartitions(*columns)
+
+
 def radix_sort(df: DataFrame, key: str, payload: str, descending: bool = False, bits: tuple[int, int] | None = None) -> DataFrame:
     """By key, ties by payload ascending (the stable order); ``bits`` sorts by a bit range."""
     k = F.col(key)

@@ -469,8 +469,8 @@ ORACLES["csv_round_trip"] = "select s_suppkey, s_name, s_nationkey, s_acctbal fr
 def _csv_dates(spark, sf_dir):
     """Writes days and clock times of events as one text file and reads all but two lines at either end."""
     path = _shared_folder(spark)
-    days = table(spark, sf_dir, "events").orderBy("event_id").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("t")).coalesce(1)
-    files.write_csv(days.sortWithinPartitions("event_id"), path, "|")
+    events = O.sorted_ranges(table(spark, sf_dir, "events").select("event_id", "ts"), ["event_id"])
+    files.write_csv_file(events.select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("d"), F.date_format("ts", "MM/dd/yyyy HH:mm:ss").alias("t")), path, "|")
     return files.read_csv(spark, path, ["event_id", "d", "t"], ["int64", "date32", "date64"], delimiter="|", skiprows=2, skipfooter=2)
 
 

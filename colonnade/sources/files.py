@@ -78,6 +78,35 @@ def write_csv(df: DataFrame, path: str, delimiter: str = ",") -> None:
     df.write.mode("overwrite").options(sep=delimiter, quote="", escape="", emptyValue="", nullValue="").csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str, delimiter: str = ",") -> None:
+    """One text file: the rows of the first partition, of the second, and so on.
+
+    Tasks write a part for each partition beside it; the driver appends the parts' bytes to one
+    another through a small buffer, removing each, and renames the whole at the end.
+    """
+    spark, beside = df.sparkSession, f"{path.rstrip('/')}.parts"
+    write_csv(df, beside, delimiter)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsparkSession.sessionState().newHadoopConf()
+    to, folder, whole = (hadoop.fs.Path(p) for p in (path, beside, f"{beside}/_whole"))
+    fs = to.getFileSystem(conf)
+    parts = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    out = fs.create(whole, True)
+    try:
+        for part in sorted(parts, key=lambda p: (int(p.getName().split("-")[1]), p.getName())):
+            text = fs.open(part)
+            try:
+                hadoop.io.IOUtils.copyBytes(text, out, conf, False)
+            finally:
+                text.close()
+            fs.delete(part, False)
+    finally:
+        out.close()
+    fs.delete(to, True)
+    if not fs.rename(whole, to):
+        raise OSError(f"{whole} can't be renamed to {to}")
+    fs.delete(folder, True)
+
+
 # ---- Arrow
 
 

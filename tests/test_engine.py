@@ -332,6 +332,26 @@ def test_csv_skips_rows_by_its_terminator(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_csv_file_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from colonnade.plans import catalog
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 400, raising=False)
+    monkeypatch.setattr(catalog, "_shared_folder", lambda spark: f"{tmp_path}/out")
+    write, parts = files.write_csv, []
+    monkeypatch.setattr(files, "write_csv", lambda df, *a: parts.append(df.select(F.spark_partition_id().alias("p")).groupBy("p").count().agg(F.max("count")).first()[0]) or write(df, *a))
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=977 * k, microseconds=k) for k in range(5000)]
+    rows = [(7 * k % 5000, times[7 * k % 5000]) for k in range(5000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["csv_dates_skip"](spark, str(tmp_path))
+    assert sorted(values(got)) == [(k, t.date(), t.replace(microsecond=0)) for k, t in enumerate(times)][2:-2]
+    assert len(parts) == 1 and parts[0] < 1000  # rows of the largest task
+    files.write_csv_file(ordered.sorted_ranges(spark.range(5000).selectExpr("4999 - id as a", "nullif(id % 2, 0) as b"), ["a"]), f"{tmp_path}/out", ",")  # overwrites
+    assert (tmp_path / "out").read_text() == "".join(f"{a},{'' if a % 2 else 1}\n" for a in range(5000))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["events.parquet", "out"]
+    files.write_csv_file(ordered.sorted_ranges(spark.range(0), ["id"]), f"{tmp_path}/none")
+    assert (tmp_path / "none").read_text() == "" and files.read_csv(spark, f"{tmp_path}/none", ["a"], ["int64"], skiprows=2, skipfooter=2).collect() == []
+
+
 @pytest.mark.parametrize("key", ["cast(id % 3 as string)", "0", "cast(id as string)", "nullif(id % 5, 0)"])
 def test_prefix_sum_splits_any_keys(spark, key):
     d = spark.range(400).selectExpr(f"{key} as k", "id", "id * id as v").repartition(5)
